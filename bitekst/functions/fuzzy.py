@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _codes(text: str) -> np.ndarray:
@@ -66,7 +67,7 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def partial_ratios(terms: pd.Series, text: pd.Series) -> pd.Series:
     """Similarity of each term of a row with the row's text."""
     return pd.Series([[partial_ratio(t, x) for t in ts] for ts, x in zip(terms, text)])

@@ -50,12 +50,11 @@ def _fold(grams: DataFrame, keys: list[str], orders: int, prefix: str) -> DataFr
             F.sum("ref").alias("ref"),
         )
     )
-
-    def at(name: str, n: int) -> Column:
-        value = F.max(F.when(F.col("n") == n, F.col(name)))
-        return F.coalesce(value, F.lit(0)).alias(f"{prefix}{name}_{n}")
-
-    wide = [at(name, n) for name in ("match", "hyp", "ref") for n in range(1, orders + 1)]
+    wide = [
+        F.expr(f"coalesce(max(if(n = {n}, {name}, null)), 0) as {prefix}{name}_{n}")
+        for name in ("match", "hyp", "ref")
+        for n in range(1, orders + 1)
+    ]
     return counted.groupBy(*keys).agg(*wide)
 
 

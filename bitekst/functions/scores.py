@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitekst.functions.text import SPACES
@@ -35,33 +35,42 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(col, SPACES), lambda t: t != "")
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+def _sum(parts: list[str]) -> str:
+    return "(" + " + ".join(parts) + ")"
 
 
-def precisions(match: list[Column], possible: list[Column]) -> list[Column]:
-    return [_share(m, p) for m, p in zip(match, possible)]
+def with_bleu(df: DataFrame, precisions: bool = False) -> DataFrame:
+    """Add unsmoothed ``bleu`` in 0..1 (and ``bleu_1..4``) to ``match_n``, ``hyp_n``, ``ref_n``.
 
+    0 when a precision is 0 or one side is empty; the lengths are the counts of order 1.
+    """
+    orders = range(1, WORD_ORDER + 1)
+    share = {n: f"coalesce(try_divide(match_{n}, hyp_{n}), 0D)" for n in orders}
+    logs = _sum([f"ln({share[n]})" for n in orders])
+    least = ", ".join(f"match_{n}" for n in orders)
+    short = "if(hyp_1 > ref_1, 1D, exp(1 - ref_1 / hyp_1))"
+    bleu = (
+        f"if(least({least}) > 0 and ref_1 > 0, {short} * exp({logs} / {WORD_ORDER}), 0D) as bleu"
+    )
+    shares = [f"{share[n]} as bleu_{n}" for n in orders] if precisions else []
+    return df.selectExpr("*", bleu, *shares)
 
-def bleu(match: list[Column], possible: list[Column], hyp_len: Column, ref_len: Column) -> Column:
-    """Unsmoothed BLEU in 0..1; 0 when a precision is 0 or one side is empty."""
-    shares = precisions(match, possible)
-    mean_log = sum((F.ln(s) for s in shares[1:]), F.ln(shares[0])) / F.lit(len(shares))
-    short = F.when(hyp_len > ref_len, F.lit(1.0)).otherwise(F.exp(1 - ref_len / hyp_len))
-    defined = (F.least(*match) > 0) & (hyp_len > 0) & (ref_len > 0)
-    return F.when(defined, short * F.exp(mean_log)).otherwise(F.lit(0.0))
 
+def with_chrf(df: DataFrame) -> DataFrame:
+    """Add ``chrf`` in 0..100 to ``c_match_n``, ``c_hyp_n``, ``c_ref_n``.
 
-def chrf(match: list[Column], hyp: list[Column], ref: list[Column]) -> Column:
-    """Character F-score in 0..100 over the orders that both sides have."""
-    both = [(h > 0) & (r > 0) for h, r in zip(hyp, ref)]
-    orders = sum((b.cast("int") for b in both[1:]), both[0].cast("int"))
+    Precision and recall are means over the orders that both sides have.
+    """
+    orders = range(1, CHAR_ORDER + 1)
+    both = {n: f"(c_hyp_{n} > 0 and c_ref_{n} > 0)" for n in orders}
+    count = _sum([f"int({both[n]})" for n in orders])
 
-    def mean(whole: list[Column]) -> Column:
-        parts = [F.when(b, m / w).otherwise(0.0) for b, m, w in zip(both, match, whole)]
-        return sum(parts[1:], parts[0]) / orders
+    def mean(side: str) -> str:
+        return _sum([f"if({both[n]}, c_match_{n} / c_{side}_{n}, 0D)" for n in orders]) + f" / {count}"
 
-    precision, recall = mean(hyp), mean(ref)
-    factor = CHRF_BETA**2
-    score = 100 * (1 + factor) * precision * recall / (factor * precision + recall)
-    return F.when((orders > 0) & (precision + recall > 0), score).otherwise(F.lit(0.0))
+    weight = CHRF_BETA**2
+    staged = df.selectExpr(
+        "*", f"if({count} > 0, struct({mean('hyp')} as p, {mean('ref')} as r), null) as _f"
+    )
+    score = f"100 * (1 + {weight}) * _f.p * _f.r / ({weight} * _f.p + _f.r)"
+    return staged.selectExpr("*", f"if(_f.p + _f.r > 0, {score}, 0D) as chrf").drop("_f")

@@ -113,7 +113,7 @@ def best_partners(sentences: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     blocks = (
         numbered.groupBy("doc_id", "side", F.floor(F.col("pos") / block).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "copy", "v"))).alias("s"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "copy", "v"))).alias("s"))
         .select("doc_id", "side", "s.pos", "s.copy", F.flatten("s.v").alias("v"))
     )
 

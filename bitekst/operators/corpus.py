@@ -79,22 +79,12 @@ def nested_subsets(
         df, row_id, seed, [lambda total, s=s: F.least(F.lit(s), total) for s in sizes]
     )
     total = df.agg(F.count("*")).scalar()
-    rungs = F.array_distinct(
-        F.concat(
-            F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]), lambda s: s <= total),
-            F.array(total),
-        )
-    )
-    key = shuffle_key(seed, F.col(row_id))
-    keyed = df.withColumns({"_key": key, "_cuts": cuts, "_rungs": rungs, "_total": total})
-    rung_of = [
-        F.when(F.col("_key") <= F.col("_cuts")[i], F.lit(s).cast("long"))
+    keyed = df.withColumns({"_key": shuffle_key(seed, F.col(row_id)), "_cuts": cuts, "_all": total})
+    rungs = [
+        F.when((F.col("_all") >= s) & (F.col("_key") <= F.col("_cuts")[i]), F.lit(s).cast("long"))
         for i, s in enumerate(sizes)
     ]
-    member = F.filter(
-        F.col("_rungs"),
-        lambda s: (s == F.col("_total")) | F.coalesce(F.array_contains(F.array(*rung_of), s), F.lit(False)),
-    )
+    member = F.array_distinct(F.array_compact(F.array(*rungs, F.col("_all"))))
     return keyed.select(*df.columns, F.explode(member).alias("data_size"))
 
 

@@ -31,7 +31,7 @@ def encode_column(
         F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))
     )
     return looked_up.groupBy(row_id).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["id"]).alias("ids")
+        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["id"]).alias("ids")
     )
 
 

@@ -24,30 +24,12 @@ def strip_outputs(df: DataFrame, hyp: str = "prediction", ref: str = "reference"
     return df.withColumns({hyp: text.strip(F.col(hyp)), ref: text.strip(F.col(ref))})
 
 
-def _cols(prefix: str, orders: range) -> list[Column]:
-    return [F.col(f"{prefix}_{n}") for n in orders]
-
-
-def _bleu() -> Column:
-    return scores.bleu(
-        _cols("match", WORD_ORDERS), _cols("hyp", WORD_ORDERS), F.col("hyp_1"), F.col("ref_1")
-    )
-
-
-def _chrf() -> Column:
-    return scores.chrf(
-        _cols("c_match", CHAR_ORDERS), _cols("c_hyp", CHAR_ORDERS), _cols("c_ref", CHAR_ORDERS)
-    )
-
-
 def _char_rows(df, row_id, hyp, ref, keep) -> DataFrame:
     """Character counts; the prediction counts only in orders that the reference has."""
     rows = char_stats(df, row_id, hyp, ref, keep)
-    guarded = {
-        f"c_hyp_{n}": F.when(F.col(f"c_ref_{n}") > 0, F.col(f"c_hyp_{n}")).otherwise(0)
-        for n in CHAR_ORDERS
-    }
-    return rows.withColumns(guarded)
+    guarded = [f"if(c_ref_{n} > 0, c_hyp_{n}, 0) as c_hyp_{n}" for n in CHAR_ORDERS]
+    others = [f"c_{side}_{n}" for side in ("match", "ref") for n in CHAR_ORDERS]
+    return rows.selectExpr(row_id, *keep, *others, *guarded)
 
 
 def ngram_matches(
@@ -55,30 +37,28 @@ def ngram_matches(
 ) -> DataFrame:
     """Per row and order 1..4: clipped matches and possible n-grams, and both lengths."""
     rows = word_stats(df, row_id, hyp, ref, tuple(keep))
-    return rows.select(
+    return rows.selectExpr(
         row_id,
         *keep,
-        *[F.col(f"match_{n}") for n in WORD_ORDERS],
-        *[F.col(f"hyp_{n}").alias(f"possible_{n}") for n in WORD_ORDERS],
-        F.col("hyp_1").alias("hyp_len"),
-        F.col("ref_1").alias("ref_len"),
+        *[f"match_{n}" for n in WORD_ORDERS],
+        *[f"hyp_{n} as possible_{n}" for n in WORD_ORDERS],
+        "hyp_1 as hyp_len",
+        "ref_1 as ref_len",
     )
 
 
 def bleu_sentence(
     df: DataFrame, row_id="pair_id", hyp="prediction", ref="reference", keep=()
 ) -> DataFrame:
-    return word_stats(df, row_id, hyp, ref, tuple(keep)).select(
-        row_id, *keep, _bleu().alias("bleu")
-    )
+    rows = word_stats(df, row_id, hyp, ref, tuple(keep))
+    return scores.with_bleu(rows).select(row_id, *keep, "bleu")
 
 
 def chrf_sentence(
     df: DataFrame, row_id="pair_id", hyp="prediction", ref="reference", keep=()
 ) -> DataFrame:
-    return _char_rows(df, row_id, hyp, ref, tuple(keep)).select(
-        row_id, *keep, _chrf().alias("chrf")
-    )
+    rows = _char_rows(df, row_id, hyp, ref, tuple(keep))
+    return scores.with_chrf(rows).select(row_id, *keep, "chrf")
 
 
 def row_scores(
@@ -90,16 +70,12 @@ def row_scores(
     return words.join(chars, [row_id, *keep])
 
 
-def _corpus_bleu_columns() -> list[Column]:
-    match, possible = _cols("match", WORD_ORDERS), _cols("hyp", WORD_ORDERS)
-    shares = scores.precisions(match, possible)
-    return [_bleu().alias("bleu"), *[s.alias(f"bleu_{n}") for n, s in zip(WORD_ORDERS, shares)]]
+BLEU_COLUMNS = ["bleu", *[f"bleu_{n}" for n in WORD_ORDERS]]
 
 
 def _sums(names: list[str], orders: range) -> list[Column]:
-    return [
-        F.coalesce(F.sum(f"{p}_{n}"), F.lit(0)).alias(f"{p}_{n}") for p in names for n in orders
-    ]
+    columns = [f"{p}_{n}" for p in names for n in orders]
+    return [F.expr(f"coalesce(sum({c}), 0) as {c}") for c in columns]
 
 
 def bleu_corpus(
@@ -108,7 +84,7 @@ def bleu_corpus(
     """BLEU from pooled counts, one line per value of ``by``."""
     rows = word_stats(df, row_id, hyp, ref, tuple(by))
     pooled = rows.groupBy(*by).agg(*_sums(["match", "hyp", "ref"], WORD_ORDERS))
-    return pooled.select(*by, *_corpus_bleu_columns())
+    return scores.with_bleu(pooled, precisions=True).select(*by, *BLEU_COLUMNS)
 
 
 def chrf_corpus(
@@ -116,7 +92,7 @@ def chrf_corpus(
 ) -> DataFrame:
     rows = _char_rows(df, row_id, hyp, ref, tuple(by))
     pooled = rows.groupBy(*by).agg(*_sums(["c_match", "c_hyp", "c_ref"], CHAR_ORDERS))
-    return pooled.select(*by, _chrf().alias("chrf"))
+    return scores.with_chrf(pooled).select(*by, "chrf")
 
 
 def score_summary(df: DataFrame, score: str = "score", by=()) -> DataFrame:
@@ -145,7 +121,8 @@ def evaluate_all(
         *_sums(["match", "hyp", "ref"], WORD_ORDERS),
         *_sums(["c_match", "c_hyp", "c_ref"], CHAR_ORDERS),
     )
-    report = pooled.select(*by, *_corpus_bleu_columns(), _chrf().alias("chrf"))
+    scored = scores.with_chrf(scores.with_bleu(pooled, precisions=True))
+    report = scored.select(*by, *BLEU_COLUMNS, "chrf")
     if score is None:
         return report
     summary = score_summary(df, score, by)

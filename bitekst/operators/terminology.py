@@ -86,7 +86,7 @@ def _candidates(
         .scalar()
     )
     return grouped.select(
-        row_id, F.array_sort(F.array_union("found", like_marks)).alias("candidates")
+        row_id, F.sort_array(F.array_union("found", like_marks)).alias("candidates")
     )
 
 

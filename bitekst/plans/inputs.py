@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bitekst.functions.text import clean, words
 from bitekst.operators.terminology import glossary_load
+from bitekst.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +145,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.lit("no").alias("side"),
         F.col("no_pos").alias("pos"),
-        F.upper("sent").alias("sent"),
+        F.concat(F.lit("no: "), "sent").alias("sent"),
         shifted.alias("v"),
     )
     return english.unionByName(other)
@@ -168,7 +169,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_discount").alias("dropout"),
         F.col("l_linenumber").alias("run"),
         F.col("l_partkey").alias("data_size"),
-        (F.col("l_extendedprice") / F.lit(200000.0)).alias("test_bleu"),
+        (F.col("l_extendedprice") / F.lit(209000.0)).alias("test_bleu"),
         (F.col("l_quantity") * 2).alias("test_chrf"),
         (F.lit(1) - F.col("l_tax")).alias("val_loss"),
         (F.col("l_returnflag") == "R").alias("failed"),
@@ -216,7 +217,7 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(evaluation, size).alias("eval_bleu"),
     )
     return t.groupBy(F.col("conv_id").alias("run_id")).agg(
-        F.array_sort(F.collect_list(entry)).alias("log_history")
+        F.sort_array(F.collect_list(entry)).alias("log_history")
     )
 
 

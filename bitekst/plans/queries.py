@@ -671,7 +671,13 @@ def read_tmx(spark, sf):
         variant("en", F.lit("")),
         F.lit("</tu>"),
     )
-    c.select(unit.alias("value")).write.text(path)
+    # One well-formed file per hundred units.
+    files = c.groupBy(F.floor(F.col("pair_id") / 100).alias("file")).agg(
+        F.concat(
+            F.lit("<tmx><body>"), F.array_join(F.collect_list(unit), ""), F.lit("</body></tmx>")
+        ).alias("value")
+    )
+    files.write.partitionBy("file").text(path)
     return readers.read_tmx(spark, path)
 
 

@@ -39,6 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores (a small table in one file).
+
+    Large tables have many more splits and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Number of partitions for exchanges whose output grows far beyond their input.
 
