@@ -32,7 +32,7 @@ def tokens(col: Column) -> Column:
     col = F.concat(F.lit(" "), col, F.lit(" "))
     for pattern, replacement in TOKEN_RULES:
         col = F.regexp_replace(col, pattern, replacement)
-    return F.filter(F.split(col, SPACES), lambda t: t != "")
+    return F.array_remove(F.split(col, SPACES), "")
 
 
 def _sum(parts: list[str]) -> str:

@@ -34,11 +34,12 @@ def squeeze(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    return F.filter(F.split(clean(col), " "), lambda w: w != "")
+    return F.array_remove(F.split(clean(col), " "), "")
 
 
 def word_count(col: Column) -> Column:
-    return F.size(words(col)).cast("long")
+    cleaned = clean(col)
+    return (F.size(F.split(cleaned, " ")) - (cleaned == "").cast("int")).cast("long")
 
 
 def pieces(col: Column) -> Column:

@@ -160,15 +160,27 @@ def doc_cosine(sentences: DataFrame) -> DataFrame:
 
 
 def mutual_pairs(sentences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, en_pos, no_pos, similarity): pairs that are each other's best, from threshold up."""
-    best = best_partners(sentences).filter(F.col("similarity") >= threshold)
-    en = best.filter("side = 'en'").select(
-        "doc_id", F.col("pos").alias("en_pos"), F.col("other").alias("no_pos"), "similarity"
+    """(doc_id, en_pos, no_pos, similarity): pairs that are each other's best, from threshold up.
+
+    A pair is mutual when both of its sides name it, so counting names replaces a self-join.
+    """
+    is_en = F.col("side") == "en"
+    named = (
+        best_partners(sentences)
+        .filter(F.col("similarity") >= threshold)
+        .select(
+            "doc_id",
+            F.when(is_en, F.col("pos")).otherwise(F.col("other")).alias("en_pos"),
+            F.when(is_en, F.col("other")).otherwise(F.col("pos")).alias("no_pos"),
+            "similarity",
+        )
     )
-    no = best.filter("side = 'no'").select(
-        "doc_id", F.col("pos").alias("no_pos"), F.col("other").alias("en_pos")
+    return (
+        named.groupBy("doc_id", "en_pos", "no_pos")
+        .agg(F.count("*").alias("names"), F.max("similarity").alias("similarity"))
+        .filter("names = 2")
+        .drop("names")
     )
-    return en.join(no, ["doc_id", "en_pos", "no_pos"])
 
 
 def align_one_to_one(

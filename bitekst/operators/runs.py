@@ -112,10 +112,13 @@ def score_heatmap(
 def config_summary(
     runs: DataFrame, config: str = "config_id", by: tuple[str, ...] = (), digits: int = 4
 ) -> DataFrame:
-    """Mean, sample deviation, extremes per configuration, rounded half to even."""
+    """Mean, sample deviation, extremes per configuration, rounded half to even.
+
+    Scaled and rounded in binary, as table libraries do it; decimal rounding differs in ties.
+    """
 
     def rounded(value: Column, name: str) -> Column:
-        return F.bround(value, digits).alias(name)
+        return (F.rint(value * 10.0**digits) / 10.0**digits).alias(name)
 
     return (
         _valid(runs)

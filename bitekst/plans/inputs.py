@@ -207,7 +207,10 @@ def run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, log_history): a conversation as a training state; answers are evaluations."""
+    """(run_id, log_history): a conversation as a training run; answers are evaluations.
+
+    A state holds at most a hundred entries, so a long run has several.
+    """
     t = table(spark, sf_dir, "conversations")
     size = F.char_length("text").cast("double")
     evaluation = F.col("role") == "assistant"
@@ -216,9 +219,11 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~evaluation, size).alias("loss"),
         F.when(evaluation, size).alias("eval_bleu"),
     )
-    return t.groupBy(F.col("conv_id").alias("run_id")).agg(
+    part = F.floor(F.col("turn") / 100).alias("part")
+    states = t.groupBy(F.col("conv_id").alias("run_id"), part).agg(
         F.sort_array(F.collect_list(entry)).alias("log_history")
     )
+    return states.drop("part")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

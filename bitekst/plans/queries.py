@@ -401,7 +401,8 @@ def predict_batches(spark, sf):
 
 
 def _encoded(spark, sf) -> DataFrame:
-    return encoding.encode_pairs(inputs.corpus(spark, sf), inputs.vocabulary(spark, sf))
+    vocabulary = materialize(inputs.vocabulary(spark, sf))
+    return encoding.encode_pairs(inputs.corpus(spark, sf), vocabulary)
 
 
 def _joined_ids(df: DataFrame) -> DataFrame:
