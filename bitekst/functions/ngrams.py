@@ -31,18 +31,19 @@ def _both_sides(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame
     return placed.select(*keys, F.inline(F.array(side(hyp, 1), side(ref, 0))))
 
 
-def _fold(grams: DataFrame, keys: list[str], orders: int, prefix: str) -> DataFrame:
-    """grams(keys, hyp, ref, n, gram) → keys, ``{prefix}match_n/hyp_n/ref_n`` for every order.
+def _counted(df: DataFrame, keys: list[str], *units: str) -> DataFrame:
+    """Occurrences on both sides; an empty unit keeps its row, but counts nothing."""
+    real = F.col(units[0]) != ""
+    return df.groupBy(*keys, *units).agg(
+        F.sum(F.when(real, F.col("hyp")).otherwise(0)).alias("hyp"),
+        F.sum(F.when(real, F.col("ref")).otherwise(0)).alias("ref"),
+    )
 
-    An empty gram stands for a side without any n-gram: it keeps the row, but counts nothing.
-    """
-    real = F.col("gram") != ""
+
+def _fold(grams: DataFrame, keys: list[str], orders: int, prefix: str) -> DataFrame:
+    """grams(keys, n, gram, hyp, ref) → keys, ``{prefix}match_n/hyp_n/ref_n`` for every order."""
     counted = (
-        grams.groupBy(*keys, "n", "gram")
-        .agg(
-            F.sum(F.when(real, F.col("hyp")).otherwise(0)).alias("hyp"),
-            F.sum(F.when(real, F.col("ref")).otherwise(0)).alias("ref"),
-        )
+        _counted(grams, keys, "gram", "n")
         .groupBy(*keys, "n")
         .agg(
             F.sum(F.least("hyp", "ref")).alias("match"),
@@ -61,33 +62,28 @@ def _fold(grams: DataFrame, keys: list[str], orders: int, prefix: str) -> DataFr
 def word_stats(
     df: DataFrame, row_id: str, hyp: str, ref: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Word n-gram counts of orders 1..4: ``match_n``, ``hyp_n``, ``ref_n``."""
+    """Word n-gram counts of orders 1..4: ``match_n``, ``hyp_n``, ``ref_n``.
+
+    Every token starts a window of up to four tokens. Equal windows of the two sides are counted
+    together before they are cut down to the n-grams they start with.
+    """
     keys = [row_id, *keep]
     sides = _both_sides(df, keys, hyp, ref).select(
         *keys, "hyp", "ref", tokens(F.col("text")).alias("t")
     )
-    windows = sides.select(
-        *keys,
-        "hyp",
-        "ref",
-        F.explode_outer(
-            F.transform("t", lambda _, i: F.slice("t", i + 1, F.lit(WORD_ORDER)))
-        ).alias("w"),
+    window = (
+        f"struct(array_join(slice(t, i + 1, {WORD_ORDER}), ' ') as w, "
+        f"least({WORD_ORDER}, size(t) - i) as size)"
+    )
+    windows = sides.selectExpr(*keys, "hyp", "ref", f"inline_outer(transform(t, (_, i) -> {window}))")
+    windows = windows.withColumns(
+        {"w": F.coalesce("w", F.lit("")), "size": F.coalesce("size", F.lit(1))}
     )
-    size = F.coalesce(F.size("w"), F.lit(0))
-    orders = F.sequence(F.lit(1), F.lit(WORD_ORDER))
     grams = (
-        windows.select("*", F.explode(orders).alias("n"))
-        .filter(F.col("n") <= F.greatest(size, F.lit(1)))
-        .select(
-            *keys,
-            "hyp",
-            "ref",
-            "n",
-            F.coalesce(F.array_join(F.slice("w", F.lit(1), F.col("n")), " "), F.lit("")).alias(
-                "gram"
-            ),
-        )
+        _counted(windows, keys, "w", "size")
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(WORD_ORDER))).alias("n"))
+        .filter("n <= size")
+        .selectExpr(*keys, "hyp", "ref", "n", "substring_index(w, ' ', n) as gram")
     )
     return _fold(grams, keys, WORD_ORDER, "")
 
@@ -95,43 +91,28 @@ def word_stats(
 def char_stats(
     df: DataFrame, row_id: str, hyp: str, ref: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Character n-gram counts of orders 1..6 without whitespace: ``c_match_n`` and so on."""
+    """Character n-gram counts of orders 1..6 without whitespace: ``c_match_n`` and so on.
+
+    Windows as in :func:`word_stats`, one per character.
+    """
     keys = [row_id, *keep]
     sides = _both_sides(df, keys, hyp, ref).select(
         *keys, "hyp", "ref", squeeze(F.col("text")).alias("t")
     )
-    last = F.floor(F.greatest(F.char_length("t") - 1, F.lit(0)) / SLICE).cast("int")
-    slices = sides.select(
-        *keys,
-        "hyp",
-        "ref",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), last),
-                lambda k: F.substring(
-                    F.col("t"), k * SLICE + 1, F.lit(SLICE + CHAR_ORDER - 1)
-                ),
-            )
-        ).alias("s"),
+    last = f"cast(floor(greatest(char_length(t) - 1, 0) / {SLICE}) as int)"
+    one_slice = f"substring(t, k * {SLICE} + 1, {SLICE + CHAR_ORDER - 1})"
+    slices = sides.selectExpr(
+        *keys, "hyp", "ref", f"explode(transform(sequence(0, {last}), k -> {one_slice})) as s"
     )
-    starts = F.sequence(F.lit(1), F.lit(SLICE))
     windows = (
-        slices.select("*", F.explode(starts).alias("i"))
-        .filter(F.col("i") <= F.greatest(F.char_length("s"), F.lit(1)))
-        .select(
-            *keys, "hyp", "ref", F.substring(F.col("s"), F.col("i"), F.lit(CHAR_ORDER)).alias("w")
-        )
+        slices.select("*", F.explode(F.sequence(F.lit(1), F.lit(SLICE))).alias("i"))
+        .filter("i <= greatest(char_length(s), 1)")
+        .selectExpr(*keys, "hyp", "ref", f"substring(s, i, {CHAR_ORDER}) as w")
     )
-    orders = F.sequence(F.lit(1), F.lit(CHAR_ORDER))
     grams = (
-        windows.select("*", F.explode(orders).alias("n"))
-        .filter(F.col("n") <= F.greatest(F.char_length("w"), F.lit(1)))
-        .select(
-            *keys,
-            "hyp",
-            "ref",
-            "n",
-            F.substring(F.col("w"), F.lit(1), F.col("n")).alias("gram"),
-        )
+        _counted(windows, keys, "w")
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(CHAR_ORDER))).alias("n"))
+        .filter("n <= greatest(char_length(w), 1)")
+        .selectExpr(*keys, "hyp", "ref", "n", "substring(w, 1, n) as gram")
     )
     return _fold(grams, keys, CHAR_ORDER, "c_")

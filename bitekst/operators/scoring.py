@@ -114,22 +114,25 @@ def evaluate_all(
     """Strip, then BLEU, chrF and (when a score column is supplied) its summary."""
     by = tuple(by)
     stripped = strip_outputs(df, hyp, ref)
-    rows = word_stats(stripped, row_id, hyp, ref, by).join(
-        _char_rows(stripped, row_id, hyp, ref, by), [row_id, *by]
-    )
-    pooled = rows.groupBy(*by).agg(
-        *_sums(["match", "hyp", "ref"], WORD_ORDERS),
-        *_sums(["c_match", "c_hyp", "c_ref"], CHAR_ORDERS),
-    )
-    scored = scores.with_chrf(scores.with_bleu(pooled, precisions=True))
-    report = scored.select(*by, *BLEU_COLUMNS, "chrf")
-    if score is None:
-        return report
-    summary = score_summary(df, score, by)
-    if by:
-        return report.join(summary, list(by))
-    one = summary.select(F.struct("comet", "comet_std")).scalar()
-    return report.withColumns({"comet": one["comet"], "comet_std": one["comet_std"]})
+    parts = [
+        bleu_corpus(stripped, row_id, hyp, ref, by),
+        chrf_corpus(stripped, row_id, hyp, ref, by),
+    ]
+    if score is not None:
+        parts.append(score_summary(df, score, by))
+    return beside(parts, by)
+
+
+def beside(parts: list[DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """Put reports with one line per value of ``by`` (or just one line) next to each other."""
+    out = parts[0]
+    for part in parts[1:]:
+        if by:
+            out = out.join(part, list(by))
+        else:
+            line = part.select(F.struct(*part.columns)).scalar()
+            out = out.withColumns({c: line[c] for c in part.columns})
+    return out
 
 
 def error_class(hyp: Column, ref: Column) -> Column:

@@ -266,9 +266,3 @@ def term_accuracy(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
             F.count("*").alias("sentences_with_terms"),
         )
     )
-
-
-def evaluate_with_terms(report: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """Put the one-line term report beside the one-line score report."""
-    line = accuracy.select(F.struct(*accuracy.columns)).scalar()
-    return report.withColumns({c: line[c] for c in accuracy.columns})

@@ -312,7 +312,7 @@ def term_accuracy_fuzzy(spark, sf):
 def evaluate_with_terms(spark, sf):
     report = scoring.evaluate_all(inputs.pairs(spark, sf))
     accuracy = terminology.term_accuracy(_accuracy_rows(spark, sf, fuzzy=False))
-    return rounded(terminology.evaluate_with_terms(report, accuracy))
+    return rounded(scoring.beside([report, accuracy]))
 
 
 # --- scoring -------------------------------------------------------------------------------
