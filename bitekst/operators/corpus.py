@@ -21,8 +21,12 @@ FORWARD_SOURCE, FORWARD_TARGET = "nob_Latn", "eng_Latn"
 def filter_by_length(
     df: DataFrame, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS
 ) -> DataFrame:
-    fits = [word_count(F.col(c)).between(min_words, max_words) for c in ("source", "target")]
-    return df.filter(fits[0] & fits[1])
+    # A filter evaluates each mention of an expression anew, also of a column defined before it.
+    # Taking the counts out of a one-element array makes them real columns: one split per text.
+    counts = F.struct(*[word_count(F.col(c)).alias(c) for c in ("source", "target")])
+    counted = df.select("*", F.inline(F.array(counts)).alias("_source_words", "_target_words"))
+    fits = [F.col(f"_{c}_words").between(min_words, max_words) for c in ("source", "target")]
+    return counted.filter(fits[0] & fits[1]).select(df.columns)
 
 
 def drop_duplicate_pairs(df: DataFrame, row_id: str = "pair_id") -> DataFrame:
