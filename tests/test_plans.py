@@ -76,3 +76,20 @@ def test_split_reading_prunes_folders(spark, stored, tmp_path):
     writers.write_splits(corpus.create_splits(pairs), str(tmp_path / "s"))
     val = readers.load_splits(spark, str(tmp_path / "s"))["val"]
     assert re.search(r"PartitionFilters: \[[^\]]*split", plan(val))
+
+
+def test_task_functions_travel_with_the_job(tmp_path):
+    """Executors do not need the package: unpickle in a process that cannot import it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from bitekst.functions.fuzzy import partial_ratio
+
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps(partial_ratio))
+    code = "import pickle; print(pickle.load(open('f.bin', 'rb'))('oil', 'an oil'))"
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60
+    )
+    assert done.stdout.strip() == "1.0", done.stderr
