@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from bitekst.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -35,7 +36,7 @@ def sorted_rows(columns, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = driver.queries()[name](spark, SF_DIR)
     rows = df.collect()
