@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from bitekst.session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: computed once, lineage cut."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +55,21 @@ def by_batch(
     return df.mapInArrow(run, schema)
 
 
+ROW = "_llm_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Number the rows of a scan. The numbers of a stored table are the same each time it is read
+    with the same settings, also when a lost task is repeated."""
+    return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` that have (left_semi) or do not have (left_anti) their number among
+    ``found.row``; null ids and repeated rows are no special case."""
+    return numbered(docs).join(found.select(F.col("row").alias(ROW)), ROW, how).select(*docs.columns)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows that share an id apart by their text; never null."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitekst.llm.common import by_batch, components, pick, stored
+from bitekst.llm.common import ROW, by_batch, components, numbered, stored
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -39,7 +39,8 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the SimHash of every text as a signed 64-bit number.
+    """(doc_id, row, fp): the SimHash of every text as a signed 64-bit number; ``row`` numbers the
+    rows of the scan.
 
     ASCII letters are lower-cased, words are split at ASCII white space. A bit is 1 if it is set in
     over half of the shingles' XXH64. A shorter text is one shingle; a text without words, empty or
@@ -61,10 +62,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                 ones += bits.sum(axis=0, dtype=np.int64)
             return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
 
-        return lambda b: {"doc_id": b["doc_id"], "fp": [one(t) for t in b["text"]]}
+        return lambda b: b | {"fp": [one(t) for t in b["text"]]}
 
-    texts = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary").alias("text"))
-    return by_batch(texts, make, "doc_id long, fp long")
+    texts = numbered(docs).select(
+        docs["doc_id"].cast("long").alias("doc_id"), ROW, docs["text"].cast("binary").alias("text")
+    )
+    return by_batch(texts, make, f"doc_id long, {ROW} long, fp long").withColumnRenamed(ROW, "row")
 
 
 def _masks() -> list[int]:
@@ -172,23 +175,28 @@ def links(classes: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of ``docs``.
+    """(doc_id, row, fp, component_id, stays), one row per row of ``docs``.
 
     Documents are linked if their fingerprints differ in at most three bits; ``component_id`` is
-    the smallest doc_id reachable over links. Rows with a null doc_id take part and do not name a
-    component unless all of it is null. Repeated rows are copies like any other. Equal fingerprints
-    are one class before anything is compared, so copies never meet each other.
+    the smallest doc_id reachable over links. ``stays`` marks one row of each component: the first
+    by doc_id (null last), then place. Rows with a null doc_id take part and do not name a component
+    unless all of it is null. Repeated rows are copies like any other. Equal fingerprints are one
+    class before anything is compared, so copies never meet each other. No rows give no rows.
     """
-    marked = stored(fingerprints(pick(docs, "doc_id", "text")), "fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    marked = stored(fingerprints(docs), "fingerprints")
+    head = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "row")
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(head).alias("head")), "classes")
     label = components(links(classes, heavy))
     found = classes.join(label, classes["fp"] == label["node"], "left").select(
-        "fp", F.coalesce("label", "fp").alias("label"), "first"
+        "fp", F.coalesce("label", "fp").alias("label"), "first", "head"
     )
     found = stored(found, "labelled")
-    least = stored(found.groupBy("label").agg(F.min("first").alias("component_id")), "least")
-    named = stored(found.join(least, "label").select("fp", "component_id"), "components")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = found.groupBy("label").agg(F.min("first").alias("component_id"), F.min("head").alias("head"))
+    named = found.select("fp", "label").join(stored(least, "least"), "label")
+    named = stored(named.select("fp", "component_id", F.col("head.row").alias("first_row")), "components")
+    return marked.join(named, "fp").select(
+        "doc_id", "row", "fp", "component_id", (F.col("row") == F.col("first_row")).alias("stays")
+    )
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
