@@ -1,3 +1,121 @@
 """DuckDB SQL for those queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from bitekst.llm import covertree, decontam, lines, spans
+
+SENTENCE_SPANS = f"""
+with d as (select row_number() over () rid, doc_id, text from documents),
+p as (select rid, doc_id, text, list_filter(regexp_extract_all(text,
+        '[^.!?\\n]*(?:[.!?]+[^ \\t\\n\\r\\f\\x0b.!?][^.!?\\n]*)*[.!?]*[ \\t\\n\\r\\f\\x0b]*'), lambda x: x <> '') ps from d),
+w as (select rid, doc_id, ps, list_transform(ps, lambda x:
+        list_filter(regexp_split_to_array(x, '[ \\t\\n\\r\\f\\x0b]+'), lambda y: y <> '')) ws from p),
+s as (select rid, doc_id, unnest(range(len(ws))) i, unnest(ws) words from w),
+c as (select *, len(words) n, sum(len(words)) over (partition by rid order by i) upto from s),
+ends as (select a.rid, a.i, min(b.i) j from c a join c b on a.rid = b.rid
+        and b.i between a.i + {spans.SENTENCES - 1} and a.i + {spans.WORDS + spans.SENTENCES}
+        and b.upto - a.upto + a.n >= {spans.WORDS} group by a.rid, a.i),
+runs as (select e.rid, w.doc_id, e.i, e.j, array_to_string(flatten(ws[e.i + 1 : e.j + 1]), ' ') run
+        from ends e join w using (rid)),
+ranked as (select *, row_number() over (partition by run order by doc_id, i) k from runs),
+gone as (select rid, list_distinct(flatten(list(range(i, j + 1)))) covered from ranked where k > 1 group by rid)
+select w.doc_id, len(ps) n_sentences, coalesce(len(covered), 0) n_removed,
+  array_to_string(list_filter(ps, lambda x, i: not list_contains(coalesce(covered, []), i - 1)), '') "text"
+from w left join gone using (rid)
+"""
+
+_STRIP = "\"'“”‘’«»()\\[\\]{}<>.,;:!?…*_#\\-–—"
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w + "'" for w in sorted(words))
+
+
+def _windows(table: str, key: str, prefix: str) -> str:
+    """Template windows of a table's texts, with their slots."""
+    p, strip = prefix, _STRIP.replace("'", "''")
+    return f"""
+{p}r as (select {key} id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') raws from {table}),
+{p}t as (select id, unnest(range(len(raws))) pos, unnest(raws) raw from {p}r),
+{p}c as (select *, coalesce(nullif(regexp_replace(raw, '^[{strip}]+|[{strip}]+$', '', 'g'), ''), raw) word from {p}t),
+{p}k as (select id, pos, lower(word) core,
+    regexp_full_match(word, '[+-]?\\d+(?:[.,:/]\\d+)*(?:st|nd|rd|th)?|[+-]?\\d+(?:[.,:/]\\d+)*\\pL+')
+      or lower(word) in ({_quoted(decontam.NUMBERS)}) is_number,
+    lower(word) in ({_quoted(decontam.UNITS)}) is_unit,
+    word[1] <> lower(word[1]) and word[1] = upper(word[1]) is_capital,
+    regexp_matches(raw, '[.!?…]["''”’»)\\]}}]*$') ends from {p}c),
+{p}f as (select id, pos, core, case when is_number then 'number'
+    when is_unit and lag(is_number, 1, false) over (partition by id order by pos) then 'unit'
+    when is_capital and not lag(ends, 1, true) over (partition by id order by pos) then 'name' else 'l' end kind
+  from {p}k),
+{p}l as (select id, pos, list(struct_pack(t := case kind when 'l' then core else '<' || kind || '>' end, kind := kind, core := core))
+    over (partition by id order by pos rows between current row and {decontam.WINDOW - 1} following) ws from {p}f),
+{p}w as (select id, pos, array_to_string(list_transform(ws, lambda x: x.kind[1] || x.t), ' ') h,
+    list_transform(list_filter(ws, lambda x: x.kind <> 'l'), lambda x: x.kind || ':' || x.core) slots from {p}l
+  where len(ws) = {decontam.WINDOW}
+    and len(list_filter(ws, lambda x: x.kind = 'l')) >= {decontam.LITERAL})"""
+
+
+TEMPLATE_WINDOWS = f"""
+with items as (select min(item_id) item_id, text from benchmark group by text),
+{_windows("items", "item_id", "b")},
+{_windows("documents", "doc_id", "d")},
+size as (select id, count(*) n from bw group by id),
+met as (select dw.id doc_id, bw.id item_id, dw.pos - bw.pos diagonal, bw.pos ipos,
+    list_transform(range(1, len(bw.slots) + 1), lambda i: [bw.slots[i], dw.slots[i]]) pairs
+  from dw join bw on dw.h = bw.h),
+aligned as (select doc_id, item_id, diagonal, list_distinct(list(ipos)) ats, list_distinct(flatten(list(pairs))) pairs
+  from met group by all),
+good as (select doc_id, item_id, unnest(ats) ipos, len(list_filter(pairs, lambda x: x[1] <> x[2])) changed from aligned
+  where len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x[1])))
+    and len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x[2])))),
+best as (select doc_id, item_id, ipos, min(changed) changed from good group by all),
+found as (select doc_id, item_id, count(*) n_found, max(changed) n_changed from best group by all)
+select doc_id, item_id, n n_windows, n_found, n_found / n::double coverage, n_changed
+from found join size on id = item_id where n_found >= ceil({decontam.SHARE}::double * n)
+"""
+
+SITE_LINES = f"""
+with d as (select row_number() over () rid, doc_id, source, "text", string_split("text", chr(10)) ls from documents),
+l as (select rid, source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> ''))) line from d),
+c as (select source, line, count(*) n from l group by all),
+t as (select source, count(*) pages from d group by source),
+b as (select c.source, list(line) drops from c join t on c.source is not distinct from t.source
+  where n >= {lines.MIN_PAGES} and n > {lines.RATIO}::double * pages group by c.source),
+k as (select doc_id, d."text", ls, list_filter(ls, lambda x: not list_contains(coalesce(drops, []), trim(x))) kept
+  from d left join b on d.source is not distinct from b.source)
+select doc_id, coalesce(len(ls) - len(kept), 0) n_dropped,
+  case when len(ls) = len(kept) then "text" else array_to_string(kept, chr(10)) end "text" from k
+"""
+
+WARC_SEGMENTS = """
+with p as (select page_id, coalesce(html, '') html from pages),
+h as (select page_id, octet_length(encode(html)) payload_bytes, sha1(html) sha from p),
+b as (select *, array_to_string(list_transform(string_split(sha, ''), lambda c:
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+    [instr('0123456789abcdef', c)]), '') bits, max(page_id) over (partition by sha) head from h)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * substr(bits, 5 * i + 1, 1)::int + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int
+    + 2 * substr(bits, 5 * i + 4, 1)::int + substr(bits, 5 * i + 5, 1)::int, 1)), '') payload_digest,
+  case when page_id = head then 'response' else 'revisit' end record_type,
+  case when page_id <> head then head end refers_to, 'ok' status
+from b
+"""
+
+COVER_TREES = f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor({covertree.SCALE} * x::double)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+  from v q join v c on q.vec_id % {covertree.EVERY} = 0 and q.vec_id <> c.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= {covertree.TOP}
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_sentence_spans": SENTENCE_SPANS,
+    "op2_template_windows": TEMPLATE_WINDOWS,
+    "op6_site_lines": SITE_LINES,
+    "op8_warc_segments": WARC_SEGMENTS,
+    "op9_cover_trees": COVER_TREES,
+}
