@@ -1,118 +1,133 @@
 """Clipped n-gram counts per row.
 
-The raw text crosses the network once, hash-partitioned by row; n-grams are made, counted and
-folded back into one line per row inside that partitioning. The columns in ``keep`` travel along
-as grouping columns, so nothing has to be joined back.
+Counting needs nothing from other rows, so nothing crosses the network and ids need not be unique:
+an Arrow function counts the rows of a batch at once. The n-grams of a row are numbered order by
+order: equal (row, n-gram of the order below, next unit) get the same number.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitekst.functions.scores import CHAR_ORDER, WORD_ORDER, tokens
 from bitekst.functions.text import squeeze
-from bitekst.session import shuffle_width
 
-# Characters per slice of a text. Taking a substring is linear in the length of the string, so
-# long texts are first cut into slices that overlap by one n-gram.
-SLICE = 64
+# Units (words or characters) of both sides that are counted at once; a longer row is counted alone.
+UNITS = 1 << 20
 
 
-def _both_sides(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
-    def side(name: str, is_hyp: int) -> Column:
-        return F.struct(
-            F.lit(is_hyp).alias("hyp"),
-            F.lit(1 - is_hyp).alias("ref"),
-            F.coalesce(F.col(name), F.lit("")).alias("text"),
-        )
+def _parts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbouring rows with together at most about ``UNITS`` units."""
+    group = (np.cumsum(sizes) - sizes) // UNITS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
 
-    placed = df.select(*keys, hyp, ref).repartition(shuffle_width(df), F.col(keys[0]))
-    return placed.select(*keys, F.inline(F.array(side(hyp, 1), side(ref, 0))))
 
+def _counts(
+    units: np.ndarray, hyp_sizes: np.ndarray, ref_sizes: np.ndarray, orders: int
+) -> np.ndarray:
+    """matches, n-grams of the prediction and of the reference by row and order.
 
-def _counted(df: DataFrame, keys: list[str], *units: str) -> DataFrame:
-    """Occurrences on both sides; an empty unit keeps its row, but counts nothing."""
-    real = F.col(units[0]) != ""
-    return df.groupBy(*keys, *units).agg(
-        F.sum(F.when(real, F.col("hyp")).otherwise(0)).alias("hyp"),
-        F.sum(F.when(real, F.col("ref")).otherwise(0)).alias("ref"),
-    )
+    ``units`` holds the numbers of the units of all predictions, then of all references.
+    """
+    rows = len(hyp_sizes)
+    sizes = np.concatenate([hyp_sizes, ref_sizes])
+    row_of = np.repeat(np.concatenate([np.arange(rows)] * 2), sizes)
+    left = np.concatenate([np.arange(n, 0, -1) for n in sizes]) if len(units) else units
+    is_hyp = np.arange(len(units)) < hyp_sizes.sum()
+    width = int(units.max(initial=0)) + 1
+    out = np.zeros((3, orders, rows), np.int64)
+    at, gram = np.arange(len(units)), row_of
+    for n in range(1, orders + 1):
+        keep = left[at] >= n
+        at, gram = at[keep], gram[keep]
+        out[1, n - 1] = np.maximum(hyp_sizes - n + 1, 0)
+        out[2, n - 1] = np.maximum(ref_sizes - n + 1, 0)
+        if not len(at):
+            continue
+        _, first, gram = np.unique(
+            gram * width + units[at + n - 1], return_index=True, return_inverse=True
+        )
+        hyp = np.bincount(gram[is_hyp[at]], minlength=len(first))
+        ref = np.bincount(gram[~is_hyp[at]], minlength=len(first))
+        np.add.at(out[0, n - 1], row_of[at[first]], np.minimum(hyp, ref))
+    return out
 
 
-def _fold(grams: DataFrame, keys: list[str], orders: int, prefix: str) -> DataFrame:
-    """grams(keys, n, gram, hyp, ref) → keys, ``{prefix}match_n/hyp_n/ref_n`` for every order."""
-    counted = (
-        _counted(grams, keys, "gram", "n")
-        .groupBy(*keys, "n")
-        .agg(
-            F.sum(F.least("hyp", "ref")).alias("match"),
-            F.sum("hyp").alias("hyp"),
-            F.sum("ref").alias("ref"),
-        )
+def _frame(out: np.ndarray, orders: int, prefix: str) -> pd.DataFrame:
+    names = ("match", "hyp", "ref")
+    return pd.DataFrame(
+        {f"{prefix}{s}_{n + 1}": out[i, n] for i, s in enumerate(names) for n in range(orders)}
     )
-    wide = [
-        F.expr(f"coalesce(max(if(n = {n}, {name}, null)), 0) as {prefix}{name}_{n}")
-        for name in ("match", "hyp", "ref")
-        for n in range(1, orders + 1)
-    ]
-    return counted.groupBy(*keys).agg(*wide)
+
+
+def _schema(orders: int, prefix: str) -> T.StructType:
+    sides = [f"{side}_{n}" for side in ("match", "hyp", "ref") for n in range(1, orders + 1)]
+    return T.StructType([T.StructField(prefix + s, T.LongType()) for s in sides])
+
+
+@F.pandas_udf(_schema(WORD_ORDER, ""))
+def _word_counts(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Of tokens joined by single spaces."""
+    sides = [[t.split(" ") if t else [] for t in side] for side in (hyp, ref)]
+    sizes = [np.array([len(t) for t in side], np.int64) for side in sides]
+    out = np.zeros((3, WORD_ORDER, len(hyp)), np.int64)
+    for a, b in _parts(sizes[0] + sizes[1]):
+        flat = [w for side in sides for t in side[a:b] for w in t]
+        units = pd.factorize(np.array(flat, object))[0].astype(np.int64)
+        out[:, :, a:b] = _counts(units, sizes[0][a:b], sizes[1][a:b], WORD_ORDER)
+    return _frame(out, WORD_ORDER, "")
+
+
+@F.pandas_udf(_schema(CHAR_ORDER, "c_"))
+def _char_counts(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    sides = [list(side) for side in (hyp, ref)]
+    sizes = [np.array([len(t) for t in side], np.int64) for side in sides]
+    out = np.zeros((3, CHAR_ORDER, len(hyp)), np.int64)
+    for a, b in _parts(sizes[0] + sizes[1]):
+        joined = "".join("".join(side[a:b]) for side in sides)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        units = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+        out[:, :, a:b] = _counts(units, sizes[0][a:b], sizes[1][a:b], CHAR_ORDER)
+    return _frame(out, CHAR_ORDER, "c_")
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def word_counts(hyp: str, ref: str) -> Column:
+    """Struct of word n-gram counts of orders 1..4: ``match_n``, ``hyp_n``, ``ref_n``."""
+    joined = [F.array_join(tokens(_text(c)), " ") for c in (hyp, ref)]
+    return _word_counts(*joined)
+
+
+def char_counts(hyp: str, ref: str) -> Column:
+    """Struct of character n-gram counts of orders 1..6 without whitespace: ``c_match_n``, …"""
+    return _char_counts(squeeze(_text(hyp)), squeeze(_text(ref)))
 
 
 def word_stats(
     df: DataFrame, row_id: str, hyp: str, ref: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Word n-gram counts of orders 1..4: ``match_n``, ``hyp_n``, ``ref_n``.
-
-    Every token starts a window of up to four tokens. Equal windows of the two sides are counted
-    together before they are cut down to the n-grams they start with.
-    """
-    keys = [row_id, *keep]
-    sides = _both_sides(df, keys, hyp, ref).select(
-        *keys, "hyp", "ref", tokens(F.col("text")).alias("t")
-    )
-    window = (
-        f"struct(array_join(slice(t, i + 1, {WORD_ORDER}), ' ') as w, "
-        f"least({WORD_ORDER}, size(t) - i) as size)"
-    )
-    windows = sides.selectExpr(*keys, "hyp", "ref", f"inline_outer(transform(t, (_, i) -> {window}))")
-    windows = windows.withColumns(
-        {"w": F.coalesce("w", F.lit("")), "size": F.coalesce("size", F.lit(1))}
-    )
-    grams = (
-        _counted(windows, keys, "w", "size")
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(WORD_ORDER))).alias("n"))
-        .filter("n <= size")
-        .selectExpr(*keys, "hyp", "ref", "n", "substring_index(w, ' ', n) as gram")
-    )
-    return _fold(grams, keys, WORD_ORDER, "")
+    """One line per row with its word n-gram counts."""
+    return df.select(row_id, *keep, word_counts(hyp, ref).alias("_w")).select(row_id, *keep, "_w.*")
 
 
 def char_stats(
     df: DataFrame, row_id: str, hyp: str, ref: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Character n-gram counts of orders 1..6 without whitespace: ``c_match_n`` and so on.
+    """One line per row with its character n-gram counts."""
+    return df.select(row_id, *keep, char_counts(hyp, ref).alias("_c")).select(row_id, *keep, "_c.*")
 
-    Windows as in :func:`word_stats`, one per character.
-    """
-    keys = [row_id, *keep]
-    sides = _both_sides(df, keys, hyp, ref).select(
-        *keys, "hyp", "ref", squeeze(F.col("text")).alias("t")
-    )
-    last = f"cast(floor(greatest(char_length(t) - 1, 0) / {SLICE}) as int)"
-    one_slice = f"substring(t, k * {SLICE} + 1, {SLICE + CHAR_ORDER - 1})"
-    slices = sides.selectExpr(
-        *keys, "hyp", "ref", f"explode(transform(sequence(0, {last}), k -> {one_slice})) as s"
-    )
-    windows = (
-        slices.select("*", F.explode(F.sequence(F.lit(1), F.lit(SLICE))).alias("i"))
-        .filter("i <= greatest(char_length(s), 1)")
-        .selectExpr(*keys, "hyp", "ref", f"substring(s, i, {CHAR_ORDER}) as w")
-    )
-    grams = (
-        _counted(windows, keys, "w")
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(CHAR_ORDER))).alias("n"))
-        .filter("n <= greatest(char_length(w), 1)")
-        .selectExpr(*keys, "hyp", "ref", "n", "substring(w, 1, n) as gram")
-    )
-    return _fold(grams, keys, CHAR_ORDER, "c_")
+
+def all_stats(
+    df: DataFrame, row_id: str, hyp: str, ref: str, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Both kinds of counts in one pass."""
+    both = [word_counts(hyp, ref).alias("_w"), char_counts(hyp, ref).alias("_c")]
+    return df.select(row_id, *keep, *both).select(row_id, *keep, "_w.*", "_c.*")

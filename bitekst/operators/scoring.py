@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitekst.functions import scores, text
-from bitekst.functions.ngrams import char_stats, word_stats
+from bitekst.functions.ngrams import all_stats, char_stats, word_stats
 from bitekst.functions.quantiles import quantiles
 from bitekst.session import materialize
 
@@ -24,12 +24,11 @@ def strip_outputs(df: DataFrame, hyp: str = "prediction", ref: str = "reference"
     return df.withColumns({hyp: text.strip(F.col(hyp)), ref: text.strip(F.col(ref))})
 
 
-def _char_rows(df, row_id, hyp, ref, keep) -> DataFrame:
-    """Character counts; the prediction counts only in orders that the reference has."""
-    rows = char_stats(df, row_id, hyp, ref, keep)
-    guarded = [f"if(c_ref_{n} > 0, c_hyp_{n}, 0) as c_hyp_{n}" for n in CHAR_ORDERS]
-    others = [f"c_{side}_{n}" for side in ("match", "ref") for n in CHAR_ORDERS]
-    return rows.selectExpr(row_id, *keep, *others, *guarded)
+def _guarded(rows: DataFrame) -> DataFrame:
+    """The prediction counts only in those character orders that the reference has."""
+    return rows.withColumns(
+        {f"c_hyp_{n}": F.expr(f"if(c_ref_{n} > 0, c_hyp_{n}, 0)") for n in CHAR_ORDERS}
+    )
 
 
 def ngram_matches(
@@ -57,17 +56,16 @@ def bleu_sentence(
 def chrf_sentence(
     df: DataFrame, row_id="pair_id", hyp="prediction", ref="reference", keep=()
 ) -> DataFrame:
-    rows = _char_rows(df, row_id, hyp, ref, tuple(keep))
+    rows = _guarded(char_stats(df, row_id, hyp, ref, tuple(keep)))
     return scores.with_chrf(rows).select(row_id, *keep, "chrf")
 
 
 def row_scores(
     df: DataFrame, row_id="pair_id", hyp="prediction", ref="reference", keep=()
 ) -> DataFrame:
-    """BLEU and chrF of every row. Both counts share one exchange of the text."""
-    words = bleu_sentence(df, row_id, hyp, ref, keep)
-    chars = chrf_sentence(df, row_id, hyp, ref, keep)
-    return words.join(chars, [row_id, *keep])
+    """BLEU and chrF of every row, in one pass and without moving texts."""
+    rows = scores.with_bleu(_guarded(all_stats(df, row_id, hyp, ref, tuple(keep))))
+    return scores.with_chrf(rows).select(row_id, *keep, "bleu", "chrf")
 
 
 BLEU_COLUMNS = ["bleu", *[f"bleu_{n}" for n in WORD_ORDERS]]
@@ -90,17 +88,21 @@ def bleu_corpus(
 def chrf_corpus(
     df: DataFrame, row_id="pair_id", hyp="prediction", ref="reference", by=()
 ) -> DataFrame:
-    rows = _char_rows(df, row_id, hyp, ref, tuple(by))
+    rows = _guarded(char_stats(df, row_id, hyp, ref, tuple(by)))
     pooled = rows.groupBy(*by).agg(*_sums(["c_match", "c_hyp", "c_ref"], CHAR_ORDERS))
     return scores.with_chrf(pooled).select(*by, "chrf")
 
 
 def score_summary(df: DataFrame, score: str = "score", by=()) -> DataFrame:
     """System value and population deviation of a supplied score column; 0, 0 without rows."""
-    return df.groupBy(*by).agg(
+    return df.groupBy(*by).agg(*_summary(score))
+
+
+def _summary(score: str) -> list[Column]:
+    return [
         F.coalesce(F.avg(score), F.lit(0.0)).alias("comet"),
         F.coalesce(F.stddev_pop(score), F.lit(0.0)).alias("comet_std"),
-    )
+    ]
 
 
 def evaluate_all(
@@ -111,16 +113,17 @@ def evaluate_all(
     by=(),
     score: str | None = None,
 ) -> DataFrame:
-    """Strip, then BLEU, chrF and (when a score column is supplied) its summary."""
+    """Strip, then BLEU, chrF and (when a score column is supplied) its summary, in one pass."""
     by = tuple(by)
     stripped = strip_outputs(df, hyp, ref)
-    parts = [
-        bleu_corpus(stripped, row_id, hyp, ref, by),
-        chrf_corpus(stripped, row_id, hyp, ref, by),
-    ]
-    if score is not None:
-        parts.append(score_summary(df, score, by))
-    return beside(parts, by)
+    kept = by if score is None or score in by else (*by, score)
+    rows = _guarded(all_stats(stripped, row_id, hyp, ref, kept))
+    sums = _sums(["match", "hyp", "ref"], WORD_ORDERS)
+    sums += _sums(["c_match", "c_hyp", "c_ref"], CHAR_ORDERS)
+    summary = [] if score is None else _summary(score)
+    pooled = scores.with_chrf(scores.with_bleu(rows.groupBy(*by).agg(*sums, *summary), precisions=True))
+    extra = [] if score is None else ["comet", "comet_std"]
+    return pooled.select(*by, *BLEU_COLUMNS, "chrf", *extra)
 
 
 def beside(parts: list[DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
@@ -164,16 +167,18 @@ def error_samples(
 ) -> DataFrame:
     """The lowest-scored rows with texts and error class.
 
-    Scores travel without the texts; the texts are fetched for the listed rows only.
+    The rows are chosen by BLEU; texts are fetched, and chrF counted, for the listed rows only.
+    ``row_id`` must be unique.
     """
     worst = (
-        row_scores(df, row_id, hyp, ref)
+        bleu_sentence(df, row_id, hyp, ref)
         .filter(F.col("bleu") < below)
         .orderBy("bleu", row_id)
         .limit(top)
     )
     listed = df.select(row_id, src, hyp, ref).join(F.broadcast(worst), row_id)
-    return listed.select(
+    rows = _guarded(char_stats(listed, row_id, hyp, ref, tuple({src, hyp, ref, "bleu"})))
+    return scores.with_chrf(rows).select(
         row_id,
         F.col(src).alias("source"),
         F.col(hyp).alias("prediction"),

@@ -26,11 +26,16 @@ def exchanges(df):
     return len(re.findall(r"\bExchange\b", plan(df)))
 
 
-def test_row_scores_move_the_text_once(stored):
-    assert exchanges(scoring.bleu_sentence(stored)) == 1
-    assert exchanges(scoring.chrf_sentence(stored)) == 1
-    moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan(scoring.row_scores(stored)))
-    assert set(moved) == {"pair_id"}
+def test_row_scores_move_nothing(stored):
+    for df in (scoring.bleu_sentence(stored), scoring.chrf_sentence(stored), scoring.row_scores(stored)):
+        assert exchanges(df) == 0
+
+
+def test_reports_move_sums_only(stored):
+    text = plan(scoring.evaluate_all(stored, by=("lang",)))
+    assert len(re.findall(r"\bExchange\b", text)) == 1
+    assert "partial_sum" in text
+    assert len(re.findall("FileScan", text)) == 1
 
 
 def test_scores_read_only_their_columns(stored):
@@ -38,10 +43,9 @@ def test_scores_read_only_their_columns(stored):
     assert schema == ["pair_id:bigint,prediction:string,reference:string"]
 
 
-def test_no_python_in_scores_and_exact_terms(spark, stored):
+def test_no_python_in_exact_terms(spark, stored):
     glossary = inputs.glossary(spark, SF_DIR)
     for df in (
-        scoring.row_scores(stored),
         terminology.term_accuracy_rows(stored, glossary, fuzzy=False),
         terminology.mark_terms(stored, glossary),
     ):

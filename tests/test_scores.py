@@ -73,6 +73,32 @@ def test_rows_match_plain_formulas(spark):
     assert got[4].bleu == got[4].chrf == 0.0
 
 
+def test_equal_ids_are_separate_rows(spark):
+    rows = [(1, "a b c d e", "a b c d e"), (1, "a b c d x", "a b c d e"), (1, None, "a")]
+    df = spark.createDataFrame(rows, "pair_id long, prediction string, reference string")
+    got = sorted(r.bleu for r in scoring.bleu_sentence(df).collect())
+    want = sorted([1.0, plain_bleu([rows[1][1:]]), 0.0])
+    assert got == pytest.approx(want)
+    assert scoring.chrf_sentence(df).count() == 3
+
+
+def test_counts_do_not_depend_on_the_slices(monkeypatch):
+    from bitekst.functions import ngrams
+
+    rng = np.random.default_rng(2)
+    sizes = [rng.integers(0, 40, 30), rng.integers(0, 40, 30)]
+    units = rng.integers(0, 5, sum(s.sum() for s in sizes))
+    whole = ngrams._counts(units, *sizes, 4)
+    hyp, ref = np.split(units, [sizes[0].sum()])
+    monkeypatch.setattr(ngrams, "UNITS", 50)
+    parts = ngrams._parts(sizes[0] + sizes[1])
+    assert len(parts) > 5
+    for a, b in parts:
+        cut = [np.split(u, np.cumsum(s)[:-1])[a:b] for u, s in zip((hyp, ref), sizes)]
+        part = ngrams._counts(np.concatenate([*cut[0], *cut[1]]), sizes[0][a:b], sizes[1][a:b], 4)
+        assert (part == whole[:, :, a:b]).all()
+
+
 def test_corpus_pools_counts(spark):
     rows = [(h, r) for _, h, r in ROWS]
     report = scoring.evaluate_all(pairs(spark)).first()
