@@ -26,24 +26,33 @@ def shuffle_key(seed: int | Column, row_id: Column) -> Column:
 def cut_keys(
     df: DataFrame,
     row_id: str,
-    seed: int,
+    seed: int | list[int],
     cuts: list[Callable[[Column], Column]],
     digits: int = 4,
 ) -> Column:
     """Array with, for each cut, the key of the last row inside it (a scalar subquery).
 
-    ``cuts`` maps the number of rows to a number of rows. The bucket table has at most
-    ``16 ** digits`` rows whatever the size of ``df``.
+    ``cuts`` maps the number of rows to a number of rows. ``seed`` is one seed for all cuts or a
+    list with one for each; all seeds are served by the same passes. The bucket table has at most
+    ``16 ** digits`` rows per seed whatever the size of ``df``.
     """
-    keyed = df.select(shuffle_key(seed, F.col(row_id)).alias("key")).withColumn(
-        "bucket", F.substring("key", 1, digits)
+    seeds = [seed] * len(cuts) if isinstance(seed, int) else list(seed)
+    orders = list(dict.fromkeys(seeds))
+    keys = F.array(
+        *[
+            F.struct(F.lit(i).alias("order"), shuffle_key(s, F.col(row_id)).alias("key"))
+            for i, s in enumerate(orders)
+        ]
     )
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = df.select(F.inline(keys)).withColumn("bucket", F.substring("key", 1, digits))
+    whole = Window.partitionBy("order")
+    everything = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        keyed.groupBy("bucket")
+        keyed.groupBy("order", "bucket")
         .agg(F.count("*").alias("rows"))
         .select(
+            "order",
             "bucket",
             "rows",
             F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skipped"),
@@ -52,18 +61,24 @@ def cut_keys(
     )
     wanted = F.array(
         *[
-            F.struct(F.lit(i).alias("cut"), c(F.col("total")).cast("long").alias("k"))
-            for i, c in enumerate(cuts)
+            F.struct(
+                F.lit(i).alias("cut"),
+                F.lit(orders.index(s)).alias("of"),
+                c(F.col("total")).cast("long").alias("k"),
+            )
+            for i, (s, c) in enumerate(zip(seeds, cuts))
         ]
     )
-    targets = buckets.select("*", F.explode(wanted).alias("w")).select(
-        "bucket", "rows", "skipped", "total", "w.cut", "w.k"
+    targets = (
+        buckets.select("*", F.explode(wanted).alias("w"))
+        .select("order", "bucket", "rows", "skipped", "total", "w.cut", "w.of", "w.k")
+        .filter(F.col("order") == F.col("of"))
     )
     inside = targets.filter("k > 0 and k < total and k > skipped and k <= skipped + rows")
     # One row per cut at most, so this side always fits a broadcast.
     position = F.row_number().over(Window.partitionBy("cut").orderBy("key"))
     found = (
-        keyed.join(F.broadcast(inside.select("bucket", "cut", "k", "skipped")), "bucket")
+        keyed.join(F.broadcast(inside.select("order", "bucket", "cut", "k", "skipped")), ["order", "bucket"])
         .withColumn("position", position + F.col("skipped"))
         .filter("position = k")
         .select("cut", "key")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitekst.session import materialize, shuffle_width
+from bitekst.session import materialize, partitions_for
 
 CHUNK = "_chunk"
 
@@ -21,9 +21,12 @@ def ordered_chunks(
     """Add the chunk number. ``order`` must be total within ``by``, so that ties can be split.
 
     The result is checkpointed: range bounds come from a sample, and every later use of the chunk
-    number has to see the same bounds.
+    number has to see the same bounds. The number of chunks follows the measured size of the input,
+    which is written down first, as finding the bounds reads it too.
     """
-    chunks = chunks or shuffle_width(df)
+    if chunks is None:
+        df = materialize(df)
+        chunks = partitions_for(df)
     ranged = df.repartitionByRange(chunks, *by, *order)
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()))
 

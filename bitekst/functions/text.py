@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WHITESPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# Whitespace without line breaks.
+BLANK = WHITESPACE.replace(r"\t-\r", r"\t\x0b\x0c")
 WORD = r"\p{L}\p{N}_"
 
 SPACES = f"[{WHITESPACE}]+"

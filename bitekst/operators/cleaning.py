@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bitekst.functions.text import SPACES, WHITESPACE, WORD, clean, strip, word_count
+from bitekst.functions.text import BLANK, SPACES, WHITESPACE, WORD, clean, strip, word_count
 
 # Abbreviations whose full stop does not end a sentence.
 ABBREVIATIONS = {
@@ -35,14 +37,15 @@ def split_sentences(
     """Array of cleaned sentences of at least three words.
 
     A sentence ends at a line break, or at ``. ! ?`` (with closing quotes or brackets) before
-    whitespace, unless a small letter follows or the stop belongs to an abbreviation.
+    whitespace, unless a small letter follows or the stop belongs to an abbreviation. A line break
+    behind an abbreviation ends the sentence.
     """
     abbreviations = ABBREVIATIONS[lang] if abbreviations is None else abbreviations
     body = drop_dup_title(col)
     if abbreviations:
         names = "|".join(a.replace(".", r"\.") for a in abbreviations)
         body = F.regexp_replace(
-            body, rf"(\A|[^{WORD}])({names})\.[{WHITESPACE}]", rf"$1$2.{_HELD}"
+            body, rf"(\A|[^{WORD}])({names})\.[{BLANK}]", rf"$1$2.{_HELD}"
         )
     body = F.regexp_replace(
         body, rf"""([.!?]["')\]»”’]*){SPACES}([^\p{{Ll}}{WHITESPACE}])""", "$1\n$2"
@@ -54,27 +57,26 @@ def split_sentences(
 
 
 def merge_short(sentences: Column, min_words: int = MERGE_BELOW_WORDS) -> Column:
-    """Join neighbours while the joined text stays below ``min_words`` words."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("n")
-    )
-
-    def flushed(acc: Column) -> Column:
-        return F.when(acc["held"] != "", F.array_append(acc["done"], acc["held"])).otherwise(
-            acc["done"]
-        )
-
-    def step(acc: Column, sentence: Column) -> Column:
-        words = word_count(sentence).cast("int")
-        joined = F.struct(
-            acc["done"].alias("done"),
-            strip(F.concat(acc["held"], F.lit(" "), sentence)).alias("held"),
-            (acc["n"] + words).alias("n"),
-        )
-        fresh = F.struct(flushed(acc).alias("done"), sentence.alias("held"), words.alias("n"))
-        return F.when(acc["n"] + words < min_words, joined).otherwise(fresh)
-
-    return F.aggregate(sentences, start, step, flushed)
+    """Join neighbours while the joined text stays below ``min_words`` words; in one walk along the
+    sentences of a row."""
+    return _merged(sentences, F.transform(sentences, word_count), F.lit(min_words))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _merged(sentences: pd.Series, sizes: pd.Series, least: pd.Series) -> pd.Series:
+    def one(row, counts, least):
+        if row is None:
+            return None
+        groups, held = [[]], 0
+        for sentence, words in zip(row, counts):
+            if held + words >= least:
+                groups.append([])
+                held = 0
+            groups[-1].append(sentence)
+            held += words
+        return [text for g in groups if (text := " ".join(g).strip())]
+
+    return pd.Series([one(*r) for r in zip(sentences, sizes, least)], dtype=object)
 
 
 def sentences(

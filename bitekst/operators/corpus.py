@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from bitekst.functions.ranks import cut_keys, shuffle_key
 from bitekst.functions.text import word_count
+from bitekst.session import broadcast_if_small, materialize
 
 # Length limits, seed, repeat seeds, size ladder and language codes.
 MIN_WORDS, MAX_WORDS = 3, 512
@@ -30,14 +32,23 @@ def filter_by_length(
 
 
 def drop_duplicate_pairs(df: DataFrame, row_id: str = "pair_id") -> DataFrame:
-    """Keep the first of equal (source, target) pairs.
+    """Keep the first of equal (source, target) pairs."""
+    return _without_later_copies(df, df, row_id)
 
-    Copies are recognised by a 256-bit digest, so that ids and digests are shuffled, not texts;
-    a group of copies shrinks to one line per task before the exchange.
+
+def _without_later_copies(df: DataFrame, texts: DataFrame, row_id: str) -> DataFrame:
+    """``df`` without the rows whose pair stands in ``texts`` under a smaller id.
+
+    Copies are recognised by a 256-bit digest: only ids and digests are shuffled, a group of copies
+    shrinks to one line per task before the exchange, and what is then taken off are the ids of the
+    later copies alone. So rows stay where they are as long as these ids fit a broadcast.
     """
     digest = F.sha2(F.to_json(F.struct("source", "target")), 256)
-    first = df.groupBy(digest.alias("digest")).agg(F.min(row_id).alias(row_id))
-    return df.join(first.select(row_id), row_id, "left_semi")
+    marked = materialize(texts.select(row_id, digest.alias("digest")))
+    first = marked.groupBy("digest").agg(F.min(row_id).alias("first"), F.count("*").alias("n"))
+    again = materialize(first.filter("n > 1").select("digest", "first"))
+    later = marked.join(again, "digest").filter(F.col(row_id) > F.col("first")).select(row_id)
+    return df.join(broadcast_if_small(later), row_id, "left_anti")
 
 
 def preprocess_pairs(
@@ -48,10 +59,16 @@ def preprocess_pairs(
     remove_duplicates: bool = True,
     lowercase: bool = False,
 ) -> DataFrame:
+    """Length filter, optional lower case, first of equal pairs.
+
+    Copies have equal lengths, so they are looked for before the filter, which is evaluated once.
+    """
     out = filter_by_length(df, min_words, max_words)
-    if lowercase:
-        out = out.withColumns({c: F.lower(c) for c in ("source", "target")})
-    return drop_duplicate_pairs(out, row_id) if remove_duplicates else out
+    low = {c: F.lower(c) for c in ("source", "target")} if lowercase else {}
+    out = out.withColumns(low) if low else out
+    if not remove_duplicates:
+        return out
+    return _without_later_copies(out, df.withColumns(low) if low else df, row_id)
 
 
 def mix_corpora(corpora: dict[str, DataFrame], row_id: str = "pair_id", **options) -> DataFrame:
@@ -143,12 +160,13 @@ def create_splits(
 def seed_grid(
     df: DataFrame, size: int, seeds: tuple[int, ...] = REPEAT_SEEDS, row_id="pair_id"
 ) -> DataFrame:
-    """One subset per seed, marked with its seed."""
-    out = None
-    for seed in seeds:
-        part = subset(df, size, seed, row_id).withColumn("seed", F.lit(seed))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One subset per seed, marked with its seed; all seeds in one pass."""
+    cuts = cut_keys(df, row_id, list(seeds), [lambda total: F.least(F.lit(size), total)] * len(seeds))
+    keyed = df.withColumn("_cuts", cuts)
+    member = [
+        F.when(shuffle_key(s, F.col(row_id)) <= F.col("_cuts")[i], F.lit(s)) for i, s in enumerate(seeds)
+    ]
+    return keyed.select(*df.columns, F.explode(F.array_compact(F.array(*member))).alias("seed"))
 
 
 def reverse_pairs(
@@ -166,13 +184,26 @@ def reverse_pairs(
 
 
 def bidirectional(
-    df: DataFrame, source_lang: str = FORWARD_SOURCE, target_lang: str = FORWARD_TARGET
+    df: DataFrame,
+    source_lang: str = FORWARD_SOURCE,
+    target_lang: str = FORWARD_TARGET,
+    row_id: str = "pair_id",
 ) -> DataFrame:
-    """Forward and reversed rows. Both carry the forward codes; ``direction`` tells them apart."""
+    """Forward and reversed rows. Both carry the forward codes; ``direction`` tells them apart.
+
+    ``row_id`` is made unique again (doubled, and one more for the reversed row; a text gets a
+    suffix); ``base_id`` is the id that both rows come from.
+    """
     codes = {"src_lang": F.lit(source_lang), "tgt_lang": F.lit(target_lang)}
     forward = df.withColumns({**codes, "direction": F.lit("forward")})
     backward = reverse_pairs(df).withColumns({**codes, "direction": F.lit("reverse")})
-    return forward.unionByName(backward)
+    both = forward.unionByName(backward).withColumn("base_id", F.col(row_id))
+    is_back = F.col("direction") == "reverse"
+    if isinstance(df.schema[row_id].dataType, IntegralType):
+        unique = F.col("base_id").cast("long") * 2 + is_back.cast("int")
+    else:
+        unique = F.concat_ws(":", "base_id", "direction")
+    return both.withColumn(row_id, unique)
 
 
 def split_direction(

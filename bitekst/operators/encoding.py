@@ -15,42 +15,38 @@ UNKNOWN_ID = 3
 PAD_ID, PAD_LABEL = 1, -100
 
 
-def encode_column(
+def encode_pairs(
     df: DataFrame,
     vocabulary: DataFrame,
-    text: str,
     row_id: str = "pair_id",
     max_tokens: int = MAX_TOKENS,
     unknown: int = UNKNOWN_ID,
 ) -> DataFrame:
-    """(row_id, ids): vocabulary(word, id) looked up for the first ``max_tokens`` words."""
-    kept = F.slice(words(F.col(text)), 1, max_tokens)
-    exploded = df.select(row_id, F.posexplode_outer(kept).alias("pos", "word"))
-    looked_up = exploded.join(broadcast_if_small(vocabulary), "word", "left")
-    entry = F.when(
-        F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))
+    """``input_ids``, ``attention_mask`` and ``labels`` of each pair, truncated, not padded.
+
+    Both sides go through one look-up of vocabulary(word, id) and one grouping. With a vocabulary
+    too large to broadcast, adaptive execution splits the partitions of frequent words: the
+    vocabulary is a written table, so both sides of the join are exchanged.
+    """
+    sides = F.array(
+        *[
+            F.struct(F.lit(c).alias("side"), F.slice(words(F.col(c)), 1, max_tokens).alias("w"))
+            for c in ("source", "target")
+        ]
     )
-    return looked_up.groupBy(row_id).agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["id"]).alias("ids")
+    placed = df.select(row_id, F.inline(sides)).select(
+        row_id, "side", F.posexplode_outer("w").alias("pos", "word")
     )
+    looked_up = placed.join(broadcast_if_small(vocabulary), "word", "left")
+    token = F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))
 
+    def ids(side: str) -> Column:
+        found = F.collect_list(F.when((F.col("side") == side) & F.col("word").isNotNull(), token))
+        return F.transform(F.sort_array(found), lambda e: e["id"])
 
-def encode_pairs(
-    df: DataFrame,
-    vocabulary: DataFrame,
-    row_id: str = "pair_id",
-    max_tokens: int = MAX_TOKENS,
-    unknown: int = UNKNOWN_ID,
-) -> DataFrame:
-    """``input_ids``, ``attention_mask`` and ``labels`` of each pair, truncated, not padded."""
-    source = encode_column(df, vocabulary, "source", row_id, max_tokens, unknown)
-    target = encode_column(df, vocabulary, "target", row_id, max_tokens, unknown)
-    return source.join(target.withColumnRenamed("ids", "labels"), row_id).select(
-        row_id,
-        F.col("ids").alias("input_ids"),
-        F.transform("ids", lambda _: F.lit(1)).alias("attention_mask"),
-        "labels",
-    )
+    grouped = looked_up.groupBy(row_id).agg(ids("source").alias("input_ids"), ids("target").alias("labels"))
+    mask = F.transform("input_ids", lambda _: F.lit(1))
+    return grouped.select(row_id, "input_ids", mask.alias("attention_mask"), "labels")
 
 
 def pad_to(col: Column, size: Column, value: int) -> Column:

@@ -19,6 +19,7 @@ NUM_RUNS, BASE_SEED = 3, 42
 DEFAULT_CONFIG = {"r": 16, "alpha": 32, "dropout": 0.1}
 DEFAULT_SIZE = 8000
 PATIENCE, MIN_GAIN = 3, 0.001
+COMPLETE = "COMPLETE"
 
 
 def _values(values: tuple) -> Column:
@@ -55,6 +56,9 @@ def runs_with_status(runs: DataFrame, scores: tuple[str, ...], losses: tuple[str
 
 
 def _valid(runs: DataFrame) -> DataFrame:
+    """Runs that did not fail; a table without ``failed`` has none that did."""
+    if "failed" not in runs.columns:
+        return runs
     return runs.filter(~F.coalesce(F.col("failed"), F.lit(False)))
 
 
@@ -72,26 +76,33 @@ def learning_curve(
 def best_run(
     runs: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = (), score: str = "test_bleu"
 ) -> DataFrame:
-    """The first run with the highest score above zero; no row when there is none."""
+    """The first run that did not fail with the highest score above zero; no row when there is none."""
     first_best = F.max_by(
         F.struct(score, "ord", *columns), F.struct(F.col(score), -F.col("ord"))
     )
-    found = runs.filter(F.col(score) > 0).groupBy(*by).agg(first_best.alias("best"))
+    found = _valid(runs).filter(F.col(score) > 0).groupBy(*by).agg(first_best.alias("best"))
     return found.filter("best is not null").select(*by, "best.*")
 
 
 def top_configs(
-    runs: DataFrame, k: int = TOP_CONFIGS, by: tuple[str, ...] = (), score: str = "test_bleu"
+    runs: DataFrame,
+    k: int = TOP_CONFIGS,
+    by: tuple[str, ...] = (),
+    score: str = "test_bleu",
+    completed: bool = False,
 ) -> DataFrame:
-    """The k highest scores, ties by order.
+    """The k highest scores of runs that did not fail, ties by order.
 
-    With ``by``, tasks keep only k rows per key before the exchange, so a hot key stays small.
+    ``completed`` keeps trials whose ``state`` is COMPLETE only, so that pruned ones do not rank. With ``by``, tasks keep only k rows per key before the exchange, so a hot key stays small.
     """
     order = [F.col(score).desc(), F.col("ord").asc()]
+    runs = _valid(runs)
+    if completed:
+        runs = runs.filter(F.col("state") == COMPLETE)
     if not by:
-        return _valid(runs).orderBy(*order).limit(k)
+        return runs.orderBy(*order).limit(k)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return _valid(runs).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return runs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def score_heatmap(
@@ -140,7 +151,7 @@ def trial_summary(
     """Completed, pruned and all trials, and the share of pruned ones in percent."""
     pruned = F.count_if(F.col(state) == "PRUNED")
     return trials.groupBy(*by).agg(
-        F.count_if(F.col(state) == "COMPLETE").alias("completed"),
+        F.count_if(F.col(state) == COMPLETE).alias("completed"),
         pruned.alias("pruned"),
         F.count("*").alias("total"),
         (F.try_divide(pruned, F.count("*")) * 100).alias("pruned_percent"),
@@ -168,9 +179,9 @@ def pareto_front(
 
 
 def best_overall(runs: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The first run with the largest x + y."""
+    """The first run that did not fail with the largest x + y."""
     pick = F.max_by(F.struct(x, y, "ord"), F.struct(F.col(x) + F.col(y), -F.col("ord")))
-    return runs.groupBy(*by).agg(pick.alias("p")).filter("p is not null").select(*by, "p.*")
+    return _valid(runs).groupBy(*by).agg(pick.alias("p")).filter("p is not null").select(*by, "p.*")
 
 
 def comparison_rows(report: DataFrame, ids: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitekst.operators.terminology import override
@@ -27,10 +28,10 @@ def flatten_config(
     level = configs.select(row_id, F.lit("").alias("path"), start.alias("node"))
     leaves = None
     while True:
-        level.createOrReplaceTempView("_config_level")
         entries = level.sparkSession.sql(
-            f"select l.{row_id}, l.path, e.key, e.value from _config_level l, "
-            "lateral variant_explode(l.node) e"
+            f"select l.{row_id}, l.path, e.key, e.value from {{level}} l, "
+            "lateral variant_explode(l.node) e",
+            level=level,
         )
         path = F.when(F.col("path") == "", F.col("key")).otherwise(
             F.concat("path", F.lit(sep), "key")
@@ -91,8 +92,15 @@ def register_model(
     root: str,
     time: Column | None = None,
     experiment: str = "experiment",
+    metrics: tuple[str, ...] = (),
+    config: tuple[str, ...] = (),
+    description: str | Column = "",
 ) -> DataFrame:
-    """Registry rows: id (name and time), name, experiment, timestamp, description and path."""
+    """Registry rows: id (name and time), name, experiment, timestamp, description, path, and the
+    metrics and the configuration as maps of texts.
+
+    Metrics and parameters are named columns of ``runs``; the columns of ``runs`` stay.
+    """
     name = name if isinstance(name, Column) else F.lit(name)
     stamp = F.date_format(F.current_timestamp() if time is None else time, ID_TIME_FORMAT)
     model_id = F.concat_ws("_", name, stamp)
@@ -101,11 +109,38 @@ def register_model(
             "id": model_id,
             "name": name,
             "timestamp": stamp,
+            "description": description if isinstance(description, Column) else F.lit(description),
             "path": F.concat_ws("/", F.lit(root), F.col(experiment), model_id, F.lit("model")),
+            "metrics": _as_map(metrics),
+            "config": _as_map(config),
         }
     )
 
 
+def _as_map(columns: tuple[str, ...]) -> Column:
+    entries = [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
+    return F.create_map(*entries).cast("map<string,string>")
+
+
+def append_models(models: DataFrame, path: str, experiment: str = "experiment") -> None:
+    """Add registry rows to the registry at ``path``; a model id that is there already is not
+    added again."""
+    columns = ["id", "name", experiment, "timestamp", "description", "path", "metrics", "config"]
+    rows = models.select(*columns).dropDuplicates(["id"])
+    known = read_models(models.sparkSession, path)
+    if known is not None:
+        rows = materialize(rows.join(known.select("id"), "id", "left_anti"))
+    rows.write.mode("append").parquet(path)
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame | None:
+    """The registry at ``path``; nothing if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def promote_model(
     models: DataFrame,
     requests: DataFrame,

@@ -5,6 +5,7 @@ from __future__ import annotations
 # Whitespace and word classes, spelled out for the SQL engine's regular expressions.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 W = r"\p{L}\p{N}_"
+BLANK = WS.replace(r"\t-\r", r"\t\x0b\x0c")
 
 
 def strip(x: str) -> str:
@@ -65,9 +66,11 @@ gw as (
   select item_id,
     list_filter(string_split(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda x: x <> '') as w
   from benchmark),
+gk as (select item_id, w, unnest(range(0, greatest((len(w) - 1) // 6, 0) + 1)) as k from gw),
 ge as (
-  select item_id * 2 as ord, ' ' || w[1] || ' ' || w[2] as en, w[3] || ' ' || w[4] as no_ from gw
-  union all select item_id * 2 + 1, w[5], w[6] from gw),
+  select (item_id * 1000 + k) * 2 as ord, ' ' || w[6 * k + 1] || ' ' || w[6 * k + 2] as en,
+    w[6 * k + 3] || ' ' || w[6 * k + 4] as no_ from gk
+  union all select (item_id * 1000 + k) * 2 + 1, w[6 * k + 5], w[6 * k + 6] from gk),
 gs as (
   select ord, lower({strip("coalesce(en, '')")}) as s, lower({strip("coalesce(no_, '')")}) as t
   from ge),
@@ -81,9 +84,9 @@ inverse as (
 
 SENTENCES = f"""
 sb as (
-  select e.vec_id // 10 as doc_id, e.vec_id, e.label, {clean('d.text')} as sent,
+  select e.vec_id // 10 as doc_id, e.vec_id, e.label, coalesce({clean('d.text')}, 'vector ' || e.vec_id) as sent,
     list_transform(e.embedding, lambda x: x::double) as v
-  from embeddings e join documents d on d.doc_id = e.vec_id),
+  from embeddings e left join documents d on d.doc_id = e.vec_id),
 sl as (
   select *, case when label = lag(label) over (partition by doc_id order by vec_id) then 0 else 1 end as fresh
   from sb),
@@ -142,7 +145,7 @@ runs as (
   select l_suppkey as experiment, l_orderkey * 10 + l_linenumber as ord, l_partkey % 100 as config_id,
     ({_PICK.format('l_linenumber', 8, 16, 32)})::int as r,
     ({_PICK.format('l_quantity', 16, 32, 64)})::int as alpha,
-    l_discount as dropout, l_linenumber as run, l_partkey as data_size,
+    l_discount as dropout, l_linenumber as run, l_partkey % 500 + 100 as data_size,
     l_extendedprice / 209000.0::double as test_bleu, l_quantity * 2 as test_chrf, 1 - l_tax as val_loss,
     l_returnflag = 'R' as failed,
     case when l_returnflag = 'R' then 'FAIL' when l_linestatus = 'F' then 'PRUNED' else 'COMPLETE' end as state,
@@ -173,7 +176,7 @@ models as (
     strftime(ts, '%Y%m%d_%H%M%S') as timestamp,
     'models/experiments/' || event_type || '/model-' || event_id || '_' ||
       strftime(ts, '%Y%m%d_%H%M%S') || '/model' as path,
-    value / 100 as test_bleu, ts
+    value / 100 as test_bleu, ts, event_id
   from events)
 """
 
@@ -430,7 +433,7 @@ body as (
   from lines)
 """
 SPLIT_SENTENCES = TITLED + "," + DROPPED + rf""",
-held as (select doc_id, regexp_replace(body, '(\A|[^{W}])({_ABBREVIATIONS})\.[{WS}]', '\1\2.' || chr(1), 'g') as x from body),
+held as (select doc_id, regexp_replace(body, '(\A|[^{W}])({_ABBREVIATIONS})\.[{BLANK}]', '\1\2.' || chr(1), 'g') as x from body),
 cut as (select doc_id, string_split(regexp_replace(x,
   '([.!?]["'')\]»”’]*)[{WS}]+([^\p{{Ll}}{WS}])', '\1' || chr(10) || '\2', 'g'), chr(10)) as parts from held),
 sent as (
@@ -484,9 +487,9 @@ select seed, pair_id from ranked where rn <= 200""",
     "reverse_pairs": f"""with {CORPUS} select pair_id, target as source, source as target,
   'eng_Latn' as src_lang, 'nob_Latn' as tgt_lang from corpus""",
     "bidirectional": f"""with {CORPUS}
-select pair_id, source, target, 'nob_Latn' as src_lang, 'eng_Latn' as tgt_lang, 'forward' as direction from corpus
+select pair_id * 2 as pair_id, pair_id as base_id, source, target, 'nob_Latn' as src_lang, 'eng_Latn' as tgt_lang, 'forward' as direction from corpus
 union all
-select pair_id, target, source, 'nob_Latn', 'eng_Latn', 'reverse' from corpus""",
+select pair_id * 2 + 1, pair_id, target, source, 'nob_Latn', 'eng_Latn', 'reverse' from corpus""",
     "split_direction": f"""with {CORPUS}
 select pair_id, 'reverse' as part, 'eng_Latn' as src_lang, 'nob_Latn' as tgt_lang from corpus where lang = 'de'
 union all
@@ -614,12 +617,16 @@ select experiment, data_size, ord, 'test_bleu' as metric, round(test_bleu, 6) as
 union all select experiment, data_size, ord, 'test_chrf', round(test_chrf, 6) from valid""",
     "best_run": f"""with {RUNS}
 select experiment, round(test_bleu, 6) as test_bleu, ord, r, alpha, round(dropout, 6) as dropout, data_size
-from runs where test_bleu > 0
+from valid where test_bleu > 0
 qualify row_number() over (partition by experiment order by test_bleu desc, ord) = 1""",
     "top_configs": f"""with {RUNS}
 select experiment, (row_number() over (partition by experiment order by test_bleu desc, ord))::int as rank, ord, r, alpha,
   round(dropout, 6) as dropout, round(test_bleu, 6) as test_bleu
 from valid qualify rank <= 5""",
+    "top_completed": f"""with {RUNS}
+select experiment, (row_number() over (partition by experiment order by test_bleu desc, ord))::int as rank, ord, r, alpha,
+  round(dropout, 6) as dropout, round(test_bleu, 6) as test_bleu
+from valid where state = 'COMPLETE' qualify rank <= 5""",
     "top_configs_overall": f"""with {RUNS}
 select ord, r, alpha, round(dropout, 6) as dropout, round(test_bleu, 6) as test_bleu
 from (select * from valid order by test_bleu desc, ord limit 5)""",
@@ -648,18 +655,18 @@ select round(test_bleu, 6) as test_bleu, round(test_chrf, 6) as test_chrf, ord f
     rows between unbounded preceding and 1 preceding) as above from valid)
 where above is null or test_chrf > above""",
     "best_overall": f"""with {RUNS}
-select experiment, round(test_bleu, 6) as test_bleu, round(test_chrf, 6) as test_chrf, ord from runs
+select experiment, round(test_bleu, 6) as test_bleu, round(test_chrf, 6) as test_chrf, ord from valid
 qualify row_number() over (partition by experiment order by test_bleu + test_chrf desc, ord) = 1""",
     "choose_config": f"""with {RUNS},
-s2 as (select r, alpha, dropout, 'stage2' as config_source, 0 as priority from runs
+s2 as (select r, alpha, dropout, 'stage2' as config_source, 0 as priority from valid
   where stage = 'O' and test_bleu > 0 order by test_bleu desc, ord limit 1),
-gr as (select r, alpha, dropout, 'gridsearch', 1 from runs
+gr as (select r, alpha, dropout, 'gridsearch', 1 from valid
   where stage = 'F' and test_bleu > 0 order by test_bleu desc, ord limit 1)
 select r, alpha, round(dropout, 6) as dropout, config_source from (
   select * from s2 union all select * from gr union all select 16, 32, 0.1, 'default', 2)
 order by priority limit 1""",
     "recommended_subset": f"""with {RUNS}, {CORPUS}, {ranked()},
-best as (select data_size from runs where test_bleu > 0 order by test_bleu desc, ord limit 1)
+best as (select data_size from valid where test_bleu > 0 order by test_bleu desc, ord limit 1)
 select pair_id, source from ranked where rn <= coalesce((select data_size from best), 8000)""",
     "validation_runs": f"""with {RUNS},
 top as (
@@ -679,7 +686,7 @@ select b.run_id, c.stop is not null as stopped_early, max(step) as last_step, ma
   arg_max(step, (v, -step)) as best_step, round(max(v), 6) as best_metric
 from b join c on c.run_id = b.run_id where b.step <= coalesce(c.stop, c.last) group by b.run_id, c.stop""",
     "final_report": f"""with {RUNS}, {PAIRS}, {SPLIT}, {WORD_ROWS}, {CHAR_ROWS}, {REPORT},
-cfg as (select r, alpha, dropout from runs where test_bleu > 0 order by test_bleu desc, ord limit 1),
+cfg as (select r, alpha, dropout from valid where test_bleu > 0 order by test_bleu desc, ord limit 1),
 val as (select avg(test_bleu) as b, avg(test_chrf) as c, avg(val_loss) as l from valid)
 select r, alpha, round(dropout, 6) as dropout, round(b, 6) as val_bleu, round(c, 6) as val_chrf, round(l, 6) as val_loss,
   {r6('bleu', 'test_bleu')}, {r6('chrf', 'test_chrf')},
@@ -695,7 +702,9 @@ from cfg, val, report""",
 select run_id, 'param' as kind, path as key, value from flat
 union all select event_id, 'metric', event_type, (round(value * 100)::bigint)::varchar from events
 union all select event_id, 'artifact', 'report', 'reports/' || event_type from events""",
-    "register_model": f"with {MODELS} select id, name, experiment, timestamp, path from models",
+    "register_model": f"""with {MODELS}
+select id, name, experiment, timestamp, 'event of ' || experiment as description, path, true as has_bleu,
+  event_id from models""",
     "promote_model": f"with {MODELS} select id as model_id, 'v1.0' as version, path from models where test_bleu > 0.45",
     "current_production": f"""with {MODELS}
 select id as model_id, 'v1.0' as version, path from models where test_bleu > 0.45 order by ts desc, id desc limit 1""",
@@ -705,11 +714,24 @@ select id as model_id, 'v1.0' as version, path from models where test_bleu > 0.4
   round(case when role = 'assistant' then length(text)::double end, 6) as eval_bleu from conversations""",
     "read_tmx": f"""with {CORPUS},
 flat as (select pair_id, {clean(r"regexp_replace(source, '\p{Cc}', ' ', 'g')")} as s from corpus)
-select s as source, pair_id || ' & more' as target from flat where s <> ''""",
+select row_number() over (order by pair_id) - 1 as pair_id, s as source, pair_id || ' & more' as target
+from flat where s <> ''""",
+    "convert_tmx": f"""with {CORPUS},
+flat as (select pair_id, {clean(r"regexp_replace(source, '\p{Cc}', ' ', 'g')")} as s from corpus)
+select f as format, s as source, pair_id || ' & more' as target
+from flat, (select unnest(['tsv', 'jsonl', 'huggingface']) as f) where s <> ''""",
+    "write_fairseq": f"""with {CORPUS},
+flat as (select pair_id, {clean(r"regexp_replace(source, '\p{Cc}', ' ', 'g')")} as s from corpus)
+select s as "no", pair_id || ' & more' as en from flat where s <> ''""",
+    "read_run_logs": """select conv_id // 50 as part, conv_id::double as epoch, turn as step,
+  round(case when role <> 'assistant' then length(text)::double end, 6) as loss,
+  round(case when role = 'assistant' then length(text)::double end, 6) as eval_bleu from conversations""",
     "read_pairs_json": f"""with {CORPUS}
-select source, case when lang = 'es' then '' else target end as target,
+select row_number() over (order by pair_id) - 1 as pair_id, source,
+  case when lang = 'es' then '' else target end as target,
   case when lang = 'de' then 'reverse' else '' end as direction from corpus""",
-    "read_document_pairs": f"with {CORPUS} select source as en_text, target as no_text from corpus",
+    "read_document_pairs": f"""with {CORPUS}
+select row_number() over (order by pair_id) as doc_id, source as en_text, target as no_text from corpus""",
     "write_parallel": rf"""with {CORPUS}
 select 'no' as side, regexp_replace(source, '[\r\n]+', ' ', 'g') as line from corpus
 union all select 'en', regexp_replace(target, '[\r\n]+', ' ', 'g') from corpus""",

@@ -469,6 +469,12 @@ def top_configs(spark, sf):
     return rounded(top.select("experiment", "rank", "ord", "r", "alpha", "dropout", "test_bleu"))
 
 
+@query
+def top_completed(spark, sf):
+    top = runs.top_configs(inputs.runs(spark, sf), 5, ("experiment",), completed=True)
+    return rounded(top.select("experiment", "rank", "ord", "r", "alpha", "dropout", "test_bleu"))
+
+
 @query
 def top_configs_overall(spark, sf):
     top = runs.top_configs(inputs.runs(spark, sf))
@@ -619,12 +625,24 @@ def _models(spark, sf) -> DataFrame:
         (F.col("value") / 100).alias("test_bleu"),
     )
     name = F.concat(F.lit("model-"), F.col("event_id").cast("string"))
-    return tracking.register_model(scored, name, "models/experiments", F.col("ts"))
+    note = F.concat(F.lit("event of "), F.col("experiment"))
+    return tracking.register_model(
+        scored, name, "models/experiments", F.col("ts"), metrics=("test_bleu",),
+        config=("event_id", "experiment"), description=note,
+    )
 
 
 @query
 def register_model(spark, sf):
-    return _models(spark, sf).select("id", "name", "experiment", "timestamp", "path")
+    """Registered in two steps, the second of which brings all models again."""
+    path, models = scratch_path(spark, "registry"), _models(spark, sf)
+    tracking.append_models(models.filter("event_id % 2 = 0"), path)
+    tracking.append_models(models, path)
+    return tracking.read_models(spark, path).select(
+        "id", "name", "experiment", "timestamp", "description", "path",
+        F.col("metrics")["test_bleu"].isNotNull().alias("has_bleu"),
+        F.col("config")["event_id"].cast("long").alias("event_id"),
+    )
 
 
 @query
@@ -652,8 +670,27 @@ def run_log_rows(spark, sf):
 
 
 @query
-def read_tmx(spark, sf):
-    """Documents written as translation units, one empty and one regional variant each."""
+def read_run_logs(spark, sf):
+    """The states of the runs written as files, a folder per group of runs."""
+    path = scratch_path(spark, "states")
+    states = inputs.run_states(spark, sf)
+    named = F.transform(
+        "log_history",
+        lambda e: F.struct(
+            e["step"].alias("step"), e["loss"].alias("loss"), e["eval_bleu"].alias("eval_bleu"),
+            F.col("run_id").cast("double").alias("epoch"),
+        ),
+    )
+    out = states.select(F.floor(F.col("run_id") / 50).alias("part"), named.alias("log_history"))
+    out.write.partitionBy("part").json(path)
+    rows = readers.read_run_logs(spark, path + "/part=*", lines=True)
+    part = F.regexp_extract("run_id", r"/part=(\d+)/", 1).cast("long")
+    return rounded(rows.select(part.alias("part"), "epoch", "step", "loss", "eval_bleu"))
+
+
+def _memory(spark, sf) -> DataFrame:
+    """Documents written as translation units, one empty and one regional variant each, and read
+    again."""
     path = scratch_path(spark, "tmx")
     c = inputs.corpus(spark, sf)
 
@@ -673,32 +710,78 @@ def read_tmx(spark, sf):
         F.lit("</tu>"),
     )
     # One well-formed file per hundred units.
-    files = c.groupBy(F.floor(F.col("pair_id") / 100).alias("file")).agg(
-        F.concat(
-            F.lit("<tmx><body>"), F.array_join(F.collect_list(unit), ""), F.lit("</body></tmx>")
-        ).alias("value")
+    units = F.array_sort(F.collect_list(F.struct("pair_id", unit.alias("unit"))))
+    body = F.array_join(F.transform(units, lambda u: u["unit"]), "")
+    number = F.format_string("%012d", F.floor(F.col("pair_id") / 100))
+    files = c.groupBy(number.alias("file")).agg(
+        F.concat(F.lit("<tmx><body>"), body, F.lit("</body></tmx>")).alias("value")
     )
     files.write.partitionBy("file").text(path)
     return readers.read_tmx(spark, path)
 
 
+@query
+def read_tmx(spark, sf):
+    return _memory(spark, sf)
+
+
+@query
+def convert_tmx(spark, sf):
+    """A translation memory in every output format, read back as (format, source, target)."""
+    memory = _memory(spark, sf)
+    path = scratch_path(spark, "converted")
+    for name in ("tsv", "jsonl", "huggingface"):
+        writers.export_pairs(memory, f"{path}/{name}", name)
+    tsv = spark.read.options(sep="\t", header=True, quote='"', escape='"', multiLine=True)
+    tsv = tsv.schema("source string, target string").csv(f"{path}/tsv")
+    jsonl = spark.read.schema("source string, target string").json(f"{path}/jsonl")
+    nested = spark.read.schema("translation struct<nb: string, en: string>").json(f"{path}/huggingface")
+    nested = nested.select(F.col("translation.nb").alias("source"), F.col("translation.en").alias("target"))
+    out = None
+    for name, df in (("tsv", tsv), ("jsonl", jsonl), ("huggingface", nested)):
+        part = df.select(F.lit(name).alias("format"), "source", "target")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def write_fairseq(spark, sf):
+    """A translation memory as line-aligned files; lines of both sides are put together again by
+    their place."""
+    prefix = scratch_path(spark, "fairseq")
+    writers.export_pairs(_memory(spark, sf), prefix, "fairseq")
+    return _side_by_side(spark, prefix)
+
+
+def _side_by_side(spark, prefix: str) -> DataFrame:
+    place = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+
+    def side(name: str) -> DataFrame:
+        lines = spark.read.text(f"{prefix}.{name}", wholetext=True)
+        # the last line ends with a break as well
+        rows = lines.select(place.alias("file"), F.split(F.rtrim("value", F.lit("\n")), "\n").alias("l"))
+        return rows.select("file", F.posexplode("l").alias("line", name))
+
+    return side("no").join(side("en"), ["file", "line"]).select("no", "en")
+
+
 @query
 def read_pairs_json(spark, sf):
     path = scratch_path(spark, "pairs")
     c = inputs.corpus(spark, sf)
     absent = F.when(F.col("metadata").isNotNull(), F.col("target")).alias("target")
-    c.select("source", absent, "metadata").write.json(path)
-    read = readers.read_pairs_json(spark, path, lines=True, row_id=None)
+    c.orderBy("pair_id").select("source", absent, "metadata").write.json(path)
+    read = readers.read_pairs_json(spark, path, lines=True)
     return read.select(
-        "source", "target", F.coalesce(F.col("metadata")["direction"], F.lit("")).alias("direction")
+        "pair_id", "source", "target", F.coalesce(F.col("metadata")["direction"], F.lit("")).alias("direction")
     )
 
 
 @query
 def read_document_pairs(spark, sf):
     path = scratch_path(spark, "docs")
-    inputs.corpus(spark, sf).select("source", "target").write.json(path)
-    return readers.read_document_pairs(spark, path, lines=True).drop("doc_id")
+    inputs.corpus(spark, sf).orderBy("pair_id").select("source", "target").write.json(path)
+    return readers.read_document_pairs(spark, path, lines=True)
 
 
 @query

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session (tests, laptop) may fall back to a temporary folder of its own.
+    Only a session of a single process (``local`` or ``local[n]``) may fall back to a temporary
+    folder of its own. Nothing is deleted: checkpoints and intermediate files stay in the folder
+    until whoever owns it removes them.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if sc.getCheckpointDir() is not None:
         return sc.getCheckpointDir().rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="bitekst-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -39,35 +42,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan with fewer splits than cores (a small table in one file).
+def partitions_for(df: DataFrame, target: int = 64 * 1024 * 1024) -> int:
+    """Number of partitions of about ``target`` bytes each, at least the configured number.
 
-    Large tables have many more splits and are left as they are.
+    The bytes are measured, in one aggregate: estimates of joined or checkpointed tables can be off
+    by any factor. So ``df`` should be a stored or checkpointed table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, size_in_bytes(df) // target + 1)
 
 
-def shuffle_width(df: DataFrame) -> int:
-    """Number of partitions for exchanges whose output grows far beyond their input.
+def size_in_bytes(df: DataFrame) -> int:
+    """Bytes of the rows, measured in one aggregate; nested values by their JSON text."""
+    per_row = sum((_bytes(F.col(name), kind) for name, kind in df.dtypes), F.lit(16))
+    return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()["bytes"]
 
-    An explicit number keeps adaptive execution from merging partitions by the size of the raw
-    text, which is a hundred times smaller than the n-grams made from it afterwards.
-    """
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+def _bytes(col: Column, kind: str) -> Column:
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) + 16
+    return F.lit(16)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Hint a broadcast only after measuring the table; otherwise leave the join to the planner.
 
-    The measurement is one aggregate over ``df`` that returns a single number.
+    The table is written down first, so that it is computed once for the measurement and the join.
     """
-    per_row = sum(
-        (
-            F.coalesce(F.octet_length(F.col(name)), F.lit(0)) if kind == "string" else F.lit(16)
-            for name, kind in df.dtypes
-        ),
-        F.lit(16),
-    )
-    size = df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if size <= max_bytes else df
+    df = materialize(df)
+    return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df

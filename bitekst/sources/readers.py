@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitekst.functions.text import strip
 from bitekst.operators.corpus import SEED, subset
+from bitekst.session import broadcast_if_small, materialize
 
 # Language codes of a translation memory and schemas of the input files.
 TMX_SOURCE, TMX_TARGET = "nb", "en"
@@ -20,17 +21,46 @@ RUN_STATE_SCHEMA = (
 )
 
 
+def _place() -> list[Column]:
+    """Where a row stands: its file, its split of the file, and its row in the order of the task."""
+    return [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    ]
+
+
+def numbered(df: DataFrame, row_id: str | None) -> DataFrame:
+    """Replace the columns of ``_place`` by a dense number in the order (file, place in the file).
+
+    The rows are written down once, so that all passes see the same splits; the rows before a split
+    come from one line per split, and no text is shuffled. The numbers do not depend on the splits.
+    """
+    plain = df.drop("_file", "_block", "_row")
+    if row_id is None:
+        return plain
+    rows = materialize(df)
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    splits = splits.select("_file", "_block", shift.alias("shift"))
+    placed = rows.join(broadcast_if_small(splits), ["_file", "_block"])
+    return placed.select((F.col("_row") + F.col("shift")).alias(row_id), *plain.columns)
+
+
 def read_tmx(
     spark: SparkSession,
     path: str,
     source_lang: str = TMX_SOURCE,
     target_lang: str = TMX_TARGET,
     joined: bool = False,
+    row_id: str | None = "pair_id",
 ) -> DataFrame:
-    """(source, target) of every translation unit that has both languages.
+    """(row_id, source, target) of every translation unit that has both languages.
 
     Language codes must match exactly; of several non-empty variants in a language the last wins.
-    The text of a segment is its first text node, or all of them with ``joined``.
+    The text of a segment is its first text node, or all of them with ``joined``. ``row_id`` numbers
+    the pairs from 0 in the order of the files and of the units in them.
     """
     units = spark.read.format("xml").option("rowTag", "tu").schema(TMX_SCHEMA).load(path)
 
@@ -45,11 +75,12 @@ def read_tmx(
         )
         return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(-1))
 
-    return (
+    pairs = (
         units.filter(F.size("tuv") >= 2)
-        .select(last_text(source_lang).alias("source"), last_text(target_lang).alias("target"))
+        .select(last_text(source_lang).alias("source"), last_text(target_lang).alias("target"), *_place())
         .filter("source is not null and target is not null")
     )
+    return numbered(pairs, row_id)
 
 
 def read_pairs_json(
@@ -58,7 +89,8 @@ def read_pairs_json(
     """Pairs from a JSON array (or, splittable, from JSON lines); missing texts become ''.
 
     A JSON array is read by one task per file, so large corpora belong in many files or in lines.
-    ``row_id`` numbers the rows uniquely and in order within a file, not densely.
+    ``row_id`` numbers the rows from 0 in the order of the files and of the rows in them, however
+    the files are split.
     """
     raw = spark.read.schema(PAIR_SCHEMA).option("multiLine", not lines).json(path)
     empty = F.create_map().cast("map<string,string>")
@@ -66,10 +98,9 @@ def read_pairs_json(
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("target", F.lit("")).alias("target"),
         F.coalesce("metadata", empty).alias("metadata"),
+        *_place(),
     )
-    if row_id is None:
-        return out
-    return out.select(F.monotonically_increasing_id().alias(row_id), "*")
+    return numbered(out, row_id)
 
 
 def read_document_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitekst.session import materialize, shuffle_width
+from bitekst.session import materialize, partitions_for
 
 # Language codes and column names of the output formats.
 JSONL_CODES = {"source_lang": "nb", "target_lang": "en"}
@@ -25,7 +25,8 @@ def write_parallel(df: DataFrame, prefix: str, row_id: str = "pair_id") -> None:
     Line breaks inside a text become spaces.
     """
     flat = [F.regexp_replace(c, r"[\r\n]+", " ").alias(c) for c in ("source", "target")]
-    placed = df.select(row_id, *flat).repartitionByRange(shuffle_width(df), row_id)
+    texts = materialize(df.select(row_id, *flat))
+    placed = texts.repartitionByRange(partitions_for(texts), row_id)
     ordered = materialize(placed.sortWithinPartitions(row_id))
     ordered.select("source").write.text(f"{prefix}.no")
     ordered.select("target").write.text(f"{prefix}.en")
@@ -75,6 +76,7 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 def write_results(df: DataFrame, path: str) -> None:
     """A result table as JSON lines and, when it is flat, also as CSV with header."""
+    df = materialize(df)
     df.write.json(f"{path}.json")
     if not any(t.startswith(("array", "map", "struct")) for _, t in df.dtypes):
         df.write.option("header", True).option("escape", '"').csv(f"{path}.csv")

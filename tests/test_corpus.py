@@ -187,3 +187,38 @@ def test_short_merge_limit_changes_nothing(spark):
     case = ["a b c", "d e f", "g h i j"]
     df = spark.createDataFrame([(case,)], "s array<string>")
     assert df.select(cleaning.merge_short(F.col("s"))).first()[0] == case
+
+
+def test_subset_of_both_directions(spark):
+    both = corpus.bidirectional(ids(spark, 100))
+    rows = both.collect()
+    assert len({r.pair_id for r in rows}) == 200
+    assert sorted(r.base_id for r in rows) == sorted([*range(100)] * 2)
+    assert corpus.subset(both, 51).count() == 51
+    named = ids(spark, 3).withColumn("pair_id", F.concat(F.lit("p"), "pair_id"))
+    assert collected(corpus.bidirectional(named)) == sorted(
+        f"p{i}:{d}" for i in range(3) for d in ("forward", "reverse")
+    )
+
+
+def test_seed_grid_is_one_subset_per_seed(spark):
+    df = ids(spark, 400)
+    rows = corpus.seed_grid(df, 30, (1, 2, 42)).collect()
+    for seed in (1, 2, 42):
+        got = sorted(r.pair_id for r in rows if r.seed == seed)
+        assert got == sorted(shuffled(400, seed)[:30])
+    assert corpus.seed_grid(df, 1000, (1, 2)).count() == 800
+
+
+def test_line_break_behind_an_abbreviation_ends_the_sentence(spark):
+    raw = "See the list of No.\nThe next line begins here now."
+    got = one(spark, raw, cleaning.split_sentences(F.col("t"), "en"))
+    assert got == ["See the list of No.", "The next line begins here now."]
+    same = one(spark, "It was No. Seven of the list.", cleaning.split_sentences(F.col("t"), "en"))
+    assert same == ["It was No. Seven of the list."]
+
+
+def test_merge_of_many_sentences(spark):
+    case = [f"a{i} b c" for i in range(30000)]
+    df = spark.createDataFrame([(case,)], "s array<string>")
+    assert df.select(cleaning.merge_short(F.col("s"), 8)).first()[0] == plain_merge(case, 8)

@@ -97,3 +97,43 @@ def test_task_functions_travel_with_the_job(tmp_path):
         [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60
     )
     assert done.stdout.strip() == "1.0", done.stderr
+
+
+def test_duplicates_are_dropped_without_moving_texts(stored):
+    pairs = stored.withColumn("target", F.col("reference"))
+    text = plan(corpus.preprocess_pairs(pairs, lowercase=True))
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+    assert "LeftAnti" in text
+
+
+def test_seed_grid_reads_no_more_than_the_ladder(stored):
+    scans = lambda df: plan(df).count("FileScan")
+    assert scans(corpus.seed_grid(stored, 20)) <= scans(corpus.nested_subsets(stored))
+
+
+def test_partitions_follow_the_size_of_the_input(spark, tmp_path):
+    from bitekst.functions.scan import CHUNK, ordered_chunks
+    from bitekst.session import partitions_for
+
+    wide = spark.range(20000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    sizes = []
+    for n in (2000, 20000):
+        wide.limit(n).write.parquet(str(tmp_path / str(n)))
+        df = spark.read.parquet(str(tmp_path / str(n)))
+        sizes.append(partitions_for(df, target=20_000))
+    assert sizes[1] > 5 * sizes[0]
+    rows = [ordered_chunks(spark.range(1000), [], [F.col("id")], chunks=n) for n in (4, 40)]
+    assert [r.select(CHUNK).distinct().count() for r in rows] == [4, 40]
+    assert rows[0].drop(CHUNK).exceptAll(rows[1].drop(CHUNK)).isEmpty()
+
+
+def test_temporary_folder_only_for_a_single_process():
+    from types import SimpleNamespace
+
+    from bitekst.session import shared_dir
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+        with pytest.raises(RuntimeError):
+            shared_dir(session)

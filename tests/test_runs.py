@@ -222,3 +222,15 @@ def test_registry(spark):
     current = tracking.current_production(promoted.unionByName(later)).first()
     assert current.model_id == "m0.45_20240506_070809"
     assert current.promoted_at == "2024-06-01T00:00:00.000000"
+
+
+def test_failed_runs_never_win(spark):
+    rows = [(1, 1, 0.9, 9.0, True, "FAIL"), (1, 2, 0.5, 5.0, False, "COMPLETE"), (1, 3, 0.7, 6.0, None, "PRUNED")]
+    df = spark.createDataFrame(
+        rows, "experiment long, ord long, test_bleu double, test_chrf double, failed boolean, state string"
+    )
+    assert runs.best_run(df, ("ord",), ("experiment",)).select("test_bleu").first()[0] == 0.7
+    assert runs.best_overall(df, "test_bleu", "test_chrf").first().ord == 3
+    assert [r.ord for r in runs.top_configs(df, 5).collect()] == [3, 2]
+    assert [r.ord for r in runs.top_configs(df, 5, completed=True).collect()] == [2]
+    assert runs.best_run(df.drop("failed"), ("test_chrf",)).first().test_bleu == 0.9
