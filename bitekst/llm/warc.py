@@ -5,8 +5,8 @@ as their origin. Reading groups them by origin, orders them by segment number, v
 total length, takes the HTTP response apart, decodes chunked framing and verifies the digest.
 
 Archives are read by Spark's text source with the version line as separator, so that large files
-are split among tasks. The writer never lets that line appear inside a record: it cuts chunks and
-segments within it. A foreign record that holds it is noticed by its Content-Length.
+are split among tasks. The writer never lets that line appear inside a record: it cuts chunks within
+the mark that the line consists of. A foreign record that holds it is noticed by its Content-Length.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from bitekst.llm.common import by_batch, stored
 from bitekst.session import scratch_path
 
-VERSION = b"WARC/1.1\r\n"
+MARK = b"WARC/1.1"
+VERSION = MARK + b"\r\n"
 #: Longest block of a record, size of HTTP chunks, smallest payload that is worth a revisit record.
 SEGMENT, CHUNK, REVISIT_FROM = 16384, 4096, 0
 DATE = "2026-01-01T00:00:00Z"
@@ -37,15 +38,13 @@ def digest(payload: bytes) -> str:
 
 
 def _cuts(data: bytes, size: int) -> Iterator[bytes]:
-    """Pieces of at most ``size`` bytes, cut inside every version line and never right before one."""
-    start, line = 0, data.find(VERSION)
+    """Pieces of at most ``size`` bytes, cut inside every mark."""
+    start, mark = 0, data.find(MARK)
     while start < len(data):
         stop = min(start + size, len(data))
-        if line >= 0 and line + 4 <= stop:
-            stop = line + 4
-            line = data.find(VERSION, stop)
-        elif stop == line:
-            stop += 1 if stop - start < 2 else -1
+        if 0 <= mark <= stop - 4:
+            stop = mark + 4
+            mark = data.find(MARK, stop)
         yield data[start:stop]
         start = stop
 
@@ -85,6 +84,7 @@ def records(row: int, page_id: int | None, url: str | None, payload: bytes, head
     its continuations."""
     name = f"<urn:page:{'' if page_id is None else page_id}:{row}>"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{page_id}")
+    uri = uri.replace(MARK.decode(), "WARC%2F1.1")
     common = [
         ("WARC-Date", DATE),
         ("WARC-Target-URI", uri),
