@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Bits of a state word: half of the machine word, so that a sum cannot overflow.
+WORD = 32
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
@@ -21,27 +25,25 @@ def _codes(text: str) -> np.ndarray:
 def _lcs_of_windows(short: np.ndarray, padded: np.ndarray) -> np.ndarray:
     """Longest common subsequence of ``short`` with every window of its length, all at once.
 
-    Bit-parallel recurrence over 63 characters of ``short``; the rare longer strings take the
-    plain table, one row for all windows.
+    Bit-parallel recurrence, one bit per character of ``short`` in words of 32 bits; the sum of a
+    step carries from word to word. Memory grows with (length / 32) times the length of the text.
     """
     m, count = len(short), len(padded) - len(short) + 1
-    if m <= 63:
-        masks = np.zeros(len(padded), dtype=np.uint64)
-        for i, code in enumerate(short):
-            masks[padded == code] |= np.uint64(1 << i)
-        state = np.full(count, np.uint64(0xFFFFFFFFFFFFFFFF))
-        for j in range(m):
-            hit = state & masks[j : j + count]
-            state = (state + hit) | (state - hit)
-        return np.bitwise_count(~state & np.uint64((1 << m) - 1)).astype(np.int64)
-    previous = np.zeros((m + 1, count), dtype=np.int32)
+    words = -(-m // WORD)
+    masks = np.zeros((words, len(padded)), dtype=np.uint64)
+    for i, code in enumerate(short):
+        masks[i // WORD, padded == code] |= np.uint64(1 << (i % WORD))
+    full, shift = np.uint64((1 << WORD) - 1), np.uint64(WORD)
+    state = np.full((words, count), full)
     for j in range(m):
-        current = np.zeros_like(previous)
-        for i in range(m):
-            diagonal = previous[i] + (padded[j : j + count] == short[i])
-            current[i + 1] = np.maximum(np.maximum(diagonal, previous[i + 1]), current[i])
-        previous = current
-    return previous[m]
+        carry = np.uint64(0)
+        for w in range(words):
+            hit = state[w] & masks[w, j : j + count]
+            total = state[w] + hit + carry
+            carry = total >> shift
+            state[w] = (total | (state[w] - hit)) & full
+    state[-1] |= full & ~np.uint64((1 << (m - (words - 1) * WORD)) - 1)
+    return np.bitwise_count(~state & full).sum(axis=0).astype(np.int64)
 
 
 def _best_ratio(short: np.ndarray, long: np.ndarray) -> float:

@@ -96,33 +96,51 @@ def _block_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def best_partners(sentences: DataFrame, block: int = BLOCK) -> DataFrame:
-    """For each sentence its most similar sentence on the other side of the document.
+def with_copies(sentences: DataFrame) -> DataFrame:
+    """(doc_id, side, pos, v, copy): equal vectors of a document and side numbered in order of
+    position.
 
-    The matrix of a document is cut into blocks; a task holds one block at a time and gives back
-    one line per sentence of the block, never the cells. So neither a cell table nor a whole
-    document is ever in one place. Equal similarity prefers the same copy number among equal
-    vectors, then the lowest position. Also returned: sum and number of the sentence's cells.
+    Digests are numbered, not vectors; a hash is enough to tell vectors apart: a collision changes
+    a preference between equals, never a similarity.
     """
-    # Equal vectors are numbered in order of position. A hash is enough to tell them apart: a
-    # collision changes a preference between equals, never a similarity.
     keys, order = ["doc_id", "side", "digest"], [F.col("pos")]
-    hashed = sentences.select("doc_id", "side", "pos", "v", F.xxhash64("v").alias("digest"))
+    hashed = sentences.select("doc_id", "side", "pos", F.xxhash64("v").alias("digest"))
     numbered = running(
         ordered_chunks(hashed, keys, order), keys, order, sums={"copy": F.lit(1).cast("long")}
-    )
+    ).select("doc_id", "side", "pos", "copy")
+    return sentences.select("doc_id", "side", "pos", "v").join(numbered, ["doc_id", "side", "pos"])
+
+
+def best_partners(sentences: DataFrame, block: int = BLOCK) -> DataFrame:
+    """For each sentence its most similar sentence on the other side of the document.
+
+    The matrix of a document is cut into blocks, and every pair of blocks is a key of its own: the
+    blocks of a long document spread over the tasks, each holds one pair at a time and gives back
+    one line per sentence of the pair, never the cells. Equal similarity prefers the same copy
+    number among equal vectors, then the lowest position. Also returned: sum and number of the
+    sentence's cells.
+    """
+    if "copy" not in sentences.columns:
+        sentences = with_copies(sentences)
     blocks = (
-        numbered.groupBy("doc_id", "side", F.floor(F.col("pos") / block).alias("block"))
+        sentences.groupBy("doc_id", "side", F.floor(F.col("pos") / block).alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", "copy", "v"))).alias("s"))
-        .select("doc_id", "side", "s.pos", "s.copy", F.flatten("s.v").alias("v"))
+        .select("doc_id", "side", "block", "s.pos", "s.copy", F.flatten("s.v").alias("v"))
     )
+    # the numbers of the blocks that the other side of the document has
+    place = sentences.select("doc_id", "side", F.floor(F.col("pos") / block).alias("block")).distinct()
+    partners = place.groupBy("doc_id", "side").agg(F.collect_list("block").alias("partners"))
+    other = F.when(F.col("side") == "en", "no").otherwise("en").alias("side")
+    facing = blocks.join(partners.select("doc_id", other, "partners"), ["doc_id", "side"])
 
-    def one_side(side: str) -> DataFrame:
+    def one_side(side: str, opposite: str) -> DataFrame:
         renamed = [F.col(c).alias(f"{side}_{c}") for c in ("pos", "copy", "v")]
-        return blocks.filter(F.col("side") == side).select("doc_id", *renamed)
+        return facing.filter(F.col("side") == side).select(
+            "doc_id", F.col("block").alias(f"{side}_block"), F.explode("partners").alias(f"{opposite}_block"), *renamed
+        )
 
-    en, no = one_side("en"), one_side("no")
-    best = en.join(no, "doc_id").mapInPandas(_block_best, _BEST)
+    pairs = one_side("en", "no").join(one_side("no", "en"), ["doc_id", "en_block", "no_block"])
+    best = pairs.drop("en_block", "no_block").mapInPandas(_block_best, _BEST)
     rank = F.struct(F.col("similarity"), -F.col("gap"), -F.col("other"))
     return (
         best.groupBy("doc_id", "side", "pos")
@@ -160,20 +178,18 @@ def doc_cosine(sentences: DataFrame) -> DataFrame:
 
 
 def mutual_pairs(sentences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, en_pos, no_pos, similarity): pairs that are each other's best, from threshold up.
+    """(doc_id, en_pos, no_pos, similarity): pairs that are each other's best, from threshold up."""
+    return _mutual(best_partners(sentences), threshold)
 
-    A pair is mutual when both of its sides name it, so counting names replaces a self-join.
-    """
+
+def _mutual(best: DataFrame, threshold: float) -> DataFrame:
+    """A pair is mutual when both of its sides name it, so counting names replaces a self-join."""
     is_en = F.col("side") == "en"
-    named = (
-        best_partners(sentences)
-        .filter(F.col("similarity") >= threshold)
-        .select(
-            "doc_id",
-            F.when(is_en, F.col("pos")).otherwise(F.col("other")).alias("en_pos"),
-            F.when(is_en, F.col("other")).otherwise(F.col("pos")).alias("no_pos"),
-            "similarity",
-        )
+    named = best.filter(F.col("similarity") >= threshold).select(
+        "doc_id",
+        F.when(is_en, F.col("pos")).otherwise(F.col("other")).alias("en_pos"),
+        F.when(is_en, F.col("other")).otherwise(F.col("pos")).alias("no_pos"),
+        "similarity",
     )
     return (
         named.groupBy("doc_id", "en_pos", "no_pos")
@@ -189,22 +205,29 @@ def align_one_to_one(
     """Repeated mutual-best matching until no pair reaches the threshold.
 
     Each round is checkpointed. The number of rounds follows the data; ``rounds`` can stop it
-    early, e.g. after the first.
+    early, e.g. after the first. A sentence whose best partner is below the threshold leaves for
+    good, since partners only become fewer; so do documents with nothing left on one side.
     """
-    vectors = sentences.select("doc_id", "side", "pos", "v")
-    matched, left, done = None, vectors, 0
+    # copy numbers are given once and kept
+    left, matched, done = materialize(with_copies(sentences)), None, 0
     while rounds is None or done < rounds:
-        found = materialize(mutual_pairs(left, threshold))
+        best = materialize(best_partners(left).select("doc_id", "side", "pos", "other", "similarity"))
+        found = materialize(_mutual(best, threshold))
+        matched = found if matched is None else matched.unionByName(found)
         if found.isEmpty():
-            matched = found if matched is None else matched
             break
-        matched = found if matched is None else matched.unionByName(found)
         used = found.select("doc_id", F.lit("en").alias("side"), F.col("en_pos").alias("pos"))
         used = used.unionByName(
             found.select("doc_id", F.lit("no").alias("side"), F.col("no_pos").alias("pos"))
         )
-        left = materialize(left.join(used, ["doc_id", "side", "pos"], "left_anti"))
+        open_ = best.filter(F.col("similarity") >= threshold).select("doc_id", "side", "pos")
+        open_ = open_.join(used, ["doc_id", "side", "pos"], "left_anti")
+        left = materialize(left.join(open_, ["doc_id", "side", "pos"], "left_semi"))
         done += 1
+        if left.isEmpty():
+            break
+    if matched is None:
+        matched = _mutual(best_partners(left), threshold).limit(0)
     en = sentences.filter("side = 'en'").select(
         "doc_id", F.col("pos").alias("en_pos"), F.col("sent").alias("en")
     )

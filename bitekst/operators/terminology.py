@@ -18,6 +18,7 @@ from bitekst.functions.text import (
     strip,
     whole_word_pattern,
 )
+from bitekst.operators.scoring import beside, evaluate_all
 from bitekst.session import broadcast_if_small
 
 # The marks, and the similarity from which a term counts as found.
@@ -49,45 +50,97 @@ def glossary_inverse(glossary: DataFrame) -> DataFrame:
     )
 
 
-def extract_terms(
-    df: DataFrame, glossary: DataFrame, row_id: str = "pair_id", text: str = "source"
-) -> DataFrame:
-    """(row_id, term, ord): every glossary source term that occurs in the row as whole words."""
-    terms = glossary.select(F.col("src_term").alias("term"), "ord")
-    lengths = terms.agg(F.collect_set(F.size(pieces(F.col("term"))))).scalar()
-    core = F.regexp_replace(
+# Pieces of a term that make its join key: word, gap, word.
+KEY_PIECES = 3
+# Stands between pieces where they are compared as one text.
+_GAP = "\x01"
+
+
+def _core(text: str) -> Column:
+    """The lower-cased text without non-word characters at its ends."""
+    return F.regexp_replace(
         F.lower(F.coalesce(F.col(text), F.lit(""))), rf"\A[^{WORD}]+|[^{WORD}]+\z", ""
     )
-    cut = df.select(F.col(row_id), pieces(core).alias("p"), lengths.alias("m"))
 
-    def phrases_of(size: Column) -> Column:
+
+def _phrases(df: DataFrame, row_id: str, text: str, sizes: Column) -> DataFrame:
+    """(row_id, key): the different runs of as many pieces as ``sizes`` (an array) says."""
+    cut = df.select(F.col(row_id), pieces(_core(text)).alias("p"), sizes.alias("m"))
+
+    def runs_of(size: Column) -> Column:
         fits = F.filter("p", lambda _, i: i + size <= F.size("p"))
-        return F.transform(
-            fits, lambda _, i: F.array_join(F.slice(F.col("p"), i + 1, size), "")
-        )
+        return F.transform(fits, lambda _, i: F.array_join(F.slice(F.col("p"), i + 1, size), ""))
 
-    phrases = F.array_distinct(F.flatten(F.transform("m", phrases_of)))
-    found = cut.select(row_id, F.explode(phrases).alias("term"))
-    return found.join(broadcast_if_small(terms), "term").select(row_id, "term", "ord")
+    runs = F.array_distinct(F.flatten(F.transform("m", runs_of)))
+    return cut.select(row_id, F.explode(runs).alias("key"))
+
+
+def _joined_pieces(p: Column) -> Column:
+    return F.concat(F.lit(_GAP), F.array_join(p, _GAP), F.lit(_GAP))
+
+
+def _hits(df: DataFrame, terms: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, columns of terms(term, …)) of the terms that occur in the row as whole words.
+
+    Joined on the first pieces of a term, so a text emits its short runs only, however long terms
+    are. A longer term is then looked for in those rows whose texts have its beginning.
+    """
+    p = pieces(F.col("term"))
+    keyed = terms.select(
+        "*", F.array_join(F.slice(p, 1, KEY_PIECES), "").alias("key"), (F.size(p) > KEY_PIECES).alias("more"),
+        F.least(F.size(p), F.lit(KEY_PIECES)).alias("pieces"),
+    )
+    keyed = broadcast_if_small(keyed)
+    sizes = keyed.agg(F.collect_set("pieces")).scalar()
+    found = _phrases(df, row_id, text, sizes).join(keyed, "key")
+    whole = found.filter("not more").select(row_id, *terms.columns)
+    begun = found.filter("more").groupBy(row_id).agg(F.collect_list(F.struct(*terms.columns)).alias("t"))
+    rows = df.select(row_id, _joined_pieces(pieces(_core(text))).alias("x")).join(begun, row_id)
+    there = F.filter("t", lambda t: F.contains(F.col("x"), _joined_pieces(pieces(t["term"]))))
+    return whole.unionByName(rows.select(row_id, F.inline(there)))
+
+
+def extract_terms(
+    df: DataFrame, glossary: DataFrame, row_id: str = "pair_id", text: str = "source"
+) -> DataFrame:
+    """(row_id, term, ord): every glossary source term that occurs in the row as whole words."""
+    return _hits(df, glossary.select(F.col("src_term").alias("term"), "ord"), row_id, text)
 
 
 def _candidates(
     df: DataFrame, glossary: DataFrame, row_id: str, text: str
 ) -> DataFrame:
-    """Per row the terms to mark, longest first, then in glossary order."""
-    by_length = F.struct((-F.char_length("term")).alias("neg"), "ord", "term").alias("t")
-    found = extract_terms(df, glossary, row_id, text).select(row_id, by_length)
-    grouped = found.groupBy(row_id).agg(F.collect_list("t").alias("found"))
-    # Terms made of the mark itself match only once something else is marked.
-    like_marks = (
-        glossary.select(F.col("src_term").alias("term"), "ord")
-        .filter(F.rlike("term", F.lit(rf"[<>]|(\A|[^{WORD}])term([^{WORD}]|\z)")))
-        .agg(F.collect_list(by_length))
-        .scalar()
+    """Per row the terms to mark, longest first, then in glossary order, with their patterns.
+
+    Terms with a sign or the word of the mark match once something is marked. Those of nothing else
+    are a handful of texts and tried in every row that has a hit; the others are tried where their
+    first other word stands.
+    """
+    term = F.col("src_term")
+    terms = glossary.select(
+        term.alias("term"), "ord", whole_word_pattern(term).alias("pattern"),
+        F.concat(F.lit(TERM_START), literal_replacement(term), F.lit(TERM_END)).alias("mark"),
+    )
+    by_length = F.struct((-F.char_length("term")).alias("neg"), "ord", "term", "pattern", "mark").alias("t")
+    found = _hits(df, terms, row_id, text).select(row_id, by_length)
+    like_mark = F.rlike("term", F.lit(rf"[<>]|(\A|[^{WORD}])term([^{WORD}]|\z)"))
+    special = terms.filter(like_mark).withColumn(
+        "anchor",
+        F.get(F.filter(pieces(F.col("term")), lambda x: F.rlike(x, F.lit(f"[{WORD}]")) & (x != "term")), F.lit(0)),
     )
-    return grouped.select(
-        row_id, F.sort_array(F.array_union("found", like_marks)).alias("candidates")
+    anchored = broadcast_if_small(special.filter("anchor is not null"))
+    tried = _phrases(df, row_id, text, F.array(F.lit(1))).join(
+        anchored, F.col("key") == F.col("anchor")
+    ).select(row_id, by_length)
+    marks = special.filter("anchor is null").agg(F.collect_list(by_length)).scalar()
+    grouped = (
+        found.select(row_id, "t", F.lit(True).alias("hit"))
+        .unionByName(tried.select(row_id, "t", F.lit(False).alias("hit")))
+        .groupBy(row_id)
+        .agg(F.collect_set("t").alias("found"), F.max("hit").alias("hit"))
+        .filter("hit")
     )
+    return grouped.select(row_id, F.sort_array(F.array_union("found", marks)).alias("candidates"))
 
 
 def mark_terms(
@@ -106,20 +159,15 @@ def mark_terms(
     out = out or text
     candidates = _candidates(df, glossary, row_id, text)
 
-    def marked(term: Column) -> Column:
-        return F.concat(F.lit(TERM_START), literal_replacement(term), F.lit(TERM_END))
-
     if nested:
         value = F.aggregate(
             "candidates",
             F.col(text),
-            lambda acc, t: F.regexp_replace(
-                acc, whole_word_pattern(t["term"]), marked(t["term"])
-            ),
+            lambda acc, t: F.regexp_replace(acc, t["pattern"], t["mark"]),
         )
     else:
         any_term = F.array_join(
-            F.transform("candidates", lambda t: whole_word_pattern(t["term"])), "|"
+            F.transform("candidates", lambda t: t["pattern"]), "|"
         )
         value = F.regexp_replace(
             F.col(text), F.concat(F.lit("("), any_term, F.lit(")")), f"{TERM_START}$1{TERM_END}"
@@ -266,3 +314,22 @@ def term_accuracy(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
             F.count("*").alias("sentences_with_terms"),
         )
     )
+
+
+def evaluate_with_terms(
+    df: DataFrame,
+    glossary: DataFrame,
+    row_id: str = "pair_id",
+    src: str = "source",
+    hyp: str = "prediction",
+    ref: str = "reference",
+    by: tuple[str, ...] = (),
+    score: str | None = None,
+    fuzzy: bool = True,
+) -> DataFrame:
+    """The scores of :func:`scoring.evaluate_all` and the term accuracy in one report."""
+    report = evaluate_all(df, row_id, hyp, ref, by, score)
+    rows = term_accuracy_rows(df, glossary, row_id, src, hyp, fuzzy)
+    if by:
+        rows = rows.join(df.select(row_id, *by), row_id)
+    return beside([report, term_accuracy(rows, tuple(by))], tuple(by))

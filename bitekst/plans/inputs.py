@@ -108,8 +108,8 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary_load(glossary_entries(spark, sf_dir), order="ord")
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, side, pos, sent, v): ten supplied vectors make a document.
+def sentences(spark: SparkSession, sf_dir: str, per_doc: int = 10) -> DataFrame:
+    """(doc_id, side, pos, sent, v): ``per_doc`` supplied vectors make a document.
 
     The other side has slightly shifted vectors, and one sentence for each run of neighbours with
     the same label, so that many documents differ in their sentence counts.
@@ -121,7 +121,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "embeddings")
         .join(texts, "vec_id", "left")
         .select(
-            F.floor(F.col("vec_id") / 10).cast("long").alias("doc_id"),
+            F.floor(F.col("vec_id") / per_doc).cast("long").alias("doc_id"),
             "vec_id",
             "label",
             F.coalesce("sent", F.concat(F.lit("vector "), F.col("vec_id").cast("string"))).alias("sent"),

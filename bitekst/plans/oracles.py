@@ -521,11 +521,15 @@ select doc_id, en_pos, no_pos, {r6('sim', 'similarity')} from sides where a = 1
     "align_one_to_one": f"""with recursive {SENTENCES}
 select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, 'mutual' as method from one_to_one""",
     "align_documents": f"""with recursive {SENTENCES}
+select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
+    "align_long_documents": f"""with recursive {SENTENCES.replace('e.vec_id // 10', 'e.vec_id // 500')}
 select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
     "align_doc_stats": f"""with recursive {SENTENCES}
 select doc_id, en_sentences, no_sentences, aligned_pairs, {r6('avg_similarity')} from doc_stats""",
     "align_progressively": f"""with recursive {SENTENCES}
 select doc_id, en_sentences, no_sentences, aligned_pairs, {r6('avg_similarity')} from doc_stats""",
+    "align_progress_pairs": f"""with recursive {SENTENCES}
+select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
     "align_summary": f"""with recursive {SENTENCES}
 select count(*) as total_mt_pairs, sum(en_sentences)::bigint as total_en_sentences,
   sum(no_sentences)::bigint as total_no_sentences, sum(aligned_pairs)::bigint as total_sentence_pairs,

@@ -205,6 +205,12 @@ def align_documents(spark, sf):
     return rounded(_aligned(spark, sf)[1])
 
 
+@query
+def align_long_documents(spark, sf):
+    """Documents of five hundred sentences, more than one block of the similarity matrix."""
+    return rounded(alignment.align_documents(materialize(inputs.sentences(spark, sf, 500))))
+
+
 @query
 def align_doc_stats(spark, sf):
     return rounded(alignment.align_doc_stats(*_aligned(spark, sf)))
@@ -220,14 +226,22 @@ def clean_training_pairs(spark, sf):
     return alignment.clean_training_pairs(_aligned(spark, sf)[1])
 
 
-@query
-def align_progressively(spark, sf):
+def _progress(spark, sf, name: str) -> DataFrame:
     source, out, state = (scratch_path(spark, n) for n in ("sentences", "aligned", "progress"))
     parts = inputs.sentences(spark, sf).repartition(4, "doc_id")
     parts.write.parquet(source)
     progress.align_progressively(spark, source, out, state, files_per_batch=2)
-    saved = progress.read_progress(spark, out, "stats").drop("batch_id")
-    return rounded(saved)
+    return rounded(progress.read_progress(spark, out, name).drop("batch_id"))
+
+
+@query
+def align_progressively(spark, sf):
+    return _progress(spark, sf, "stats")
+
+
+@query
+def align_progress_pairs(spark, sf):
+    return _progress(spark, sf, "pairs")
 
 
 # --- terminology ---------------------------------------------------------------------------
@@ -298,6 +312,11 @@ def term_accuracy_rows(spark, sf):
     return rounded(_accuracy_rows(spark, sf, fuzzy=False))
 
 
+@query
+def term_accuracy_rows_fuzzy(spark, sf):
+    return rounded(_accuracy_rows(spark, sf, fuzzy=True))
+
+
 @query
 def term_accuracy(spark, sf):
     return rounded(terminology.term_accuracy(_accuracy_rows(spark, sf, fuzzy=False)))
@@ -310,9 +329,14 @@ def term_accuracy_fuzzy(spark, sf):
 
 @query
 def evaluate_with_terms(spark, sf):
-    report = scoring.evaluate_all(inputs.pairs(spark, sf))
-    accuracy = terminology.term_accuracy(_accuracy_rows(spark, sf, fuzzy=False))
-    return rounded(scoring.beside([report, accuracy]))
+    p, g = inputs.pairs(spark, sf), inputs.glossary(spark, sf)
+    return rounded(terminology.evaluate_with_terms(p, g, fuzzy=False))
+
+
+@query
+def evaluate_with_terms_fuzzy(spark, sf):
+    p, g = inputs.pairs(spark, sf), inputs.glossary(spark, sf)
+    return rounded(terminology.evaluate_with_terms(p, g))
 
 
 # --- scoring -------------------------------------------------------------------------------

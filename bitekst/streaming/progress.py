@@ -1,11 +1,14 @@
 """Alignment with progressive saves.
 
 New files of sentences are aligned batch by batch and appended, so each result is written once; a
-restarted job goes on where it stopped. A document must not be spread over several input files.
+restarted job goes on where it stopped. The sentences of a document must arrive in one batch: a
+document of which an earlier batch had sentences stops the job with an error, before anything of
+its batch is saved.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +33,23 @@ def align_progressively(
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch = materialize(batch)
+        _refuse_known(batch, batch_id)
         pairs = materialize(align_documents(batch, threshold))
         stats = align_doc_stats(batch, pairs)
         for name, table in (("pairs", pairs), ("stats", stats)):
             table.write.mode("overwrite").parquet(f"{out_path}/{name}/batch_id={batch_id}")
 
+    def _refuse_known(batch: DataFrame, batch_id: int) -> None:
+        try:
+            saved = read_progress(spark, out_path, "stats")
+        except AnalysisException:  # nothing is saved yet
+            return
+        earlier = saved.filter(F.col("batch_id") != batch_id).select("doc_id")
+        again = batch.select("doc_id").distinct().join(earlier, "doc_id", "left_semi").limit(5).collect()
+        if again:
+            ids = ", ".join(str(r["doc_id"]) for r in again)
+            raise ValueError(f"documents spread over several batches: {ids}")
+
     (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)

@@ -140,3 +140,39 @@ def test_progressive_runs_add_up(spark, tmp_path):
     assert first < want.count()
     assert sorted(saved.collect()) == sorted(want.collect())
     assert read_progress(spark, paths[1], "stats").count() == 6
+
+
+def test_long_document_spreads_over_block_pairs(spark):
+    """Every pair of blocks is a key, and a smaller block gives the same partners."""
+    rng = np.random.default_rng(4)
+    rows = [(1, s, i, "", rng.normal(size=4).tolist()) for s, n in (("en", 23), ("no", 17)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, side string, pos long, sent string, v array<double>")
+    whole = sorted(map(str, al.best_partners(df).drop("total").collect()))
+    assert sorted(map(str, al.best_partners(df, block=5).drop("total").collect())) == whole
+    text = al.best_partners(df, block=5)._jdf.queryExecution().executedPlan().toString()
+    assert "en_block" in text and "no_block" in text
+
+
+def test_vectors_move_once_per_round(spark, tmp_path):
+    rows = [(1, s, i, "", [float(i), 1.0]) for s in ("en", "no") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, side string, pos long, sent string, v array<double>")
+    numbered = al.materialize(al.with_copies(df))
+    text = al.best_partners(numbered)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and "Window" not in text
+
+
+def test_document_over_two_batches_is_refused(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from bitekst.streaming import progress
+
+    rows = [(d, s, i, f"{s} {i}", [float(i + 1), 1.0]) for d in (1, 2) for s in ("en", "no") for i in range(4)]
+    schema = "doc_id long, side string, pos long, sent string, v array<double>"
+    paths = [str(tmp_path / n) for n in ("in", "out", "state")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(paths[0])
+    progress.align_progressively(spark, *paths)
+    before = progress.read_progress(spark, paths[1]).count()
+    spark.createDataFrame(rows[:2], schema).coalesce(1).write.mode("append").parquet(paths[0])
+    with pytest.raises(StreamingQueryException, match="spread over several batches: 1"):
+        progress.align_progressively(spark, *paths)
+    assert progress.read_progress(spark, paths[1]).count() == before

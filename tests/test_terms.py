@@ -148,6 +148,10 @@ def test_partial_ratio_against_brute_force():
         a = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 8)))
         b = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 20)))
         assert partial_ratio(a, b) == pytest.approx(slow_ratio(a, b)), (a, b)
+    for size in (31, 32, 33, 63, 64, 65, 129, 500):  # around the borders of state words
+        a = "".join(rng.choice("abc") for _ in range(size))
+        b = "".join(rng.choice("abc") for _ in range(size + 40))
+        assert partial_ratio(a, b) == pytest.approx(slow_ratio(a, b)), size
     long = "".join(rng.choice("ab") for _ in range(70))
     other = "".join(rng.choice("ab") for _ in range(90))
     assert partial_ratio(long, other) == pytest.approx(slow_ratio(long, other))
@@ -183,3 +187,48 @@ def test_large_glossary_is_joined_without_broadcast(spark):
     hinted = broadcast_if_small(g)._jdf.queryExecution().logical().toString()
     plain = broadcast_if_small(g, max_bytes=1)._jdf.queryExecution().logical().toString()
     assert "Hint broadcast" in hinted and "Hint broadcast" not in plain
+
+
+def test_ten_thousand_terms(spark):
+    entries = [(i, f"alpha{i} beta gamma{i % 7} delta epsilon{i}", f"x{i}") for i in range(5000)]
+    entries += [(5000 + i, f"alpha{i}", f"y{i}") for i in range(5000)]
+    g = t.glossary_load(spark.createDataFrame(entries, "ord long, en string, no string"))
+    rows = [
+        (1, "see alpha17 beta gamma3 delta epsilon17 and alpha18 beta gamma3 delta epsilon17"),
+        (2, " ".join(f"alpha{i} beta" for i in range(2000))),
+        (3, "xalpha17 beta"),
+    ]
+    df = spark.createDataFrame(rows, "pair_id long, source string")
+    got = {}
+    for r in t.extract_terms(df, g).collect():
+        got.setdefault(r.pair_id, set()).add(r.term)
+    assert got == {
+        1: {"alpha17", "alpha18", "alpha17 beta gamma3 delta epsilon17"},
+        2: {f"alpha{i}" for i in range(2000)},
+    }
+    marked = {r.pair_id: r.source for r in t.mark_terms(df.filter("pair_id <> 2"), g).collect()}
+    assert marked[1].count("<TERM>") == 3 and marked[3] == rows[2][1]
+
+
+def test_very_long_term(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    g = t.glossary_load(spark.createDataFrame([(1, long, "x"), (2, "w0 w1", "y")], "ord long, en string, no string"))
+    rows = [(1, f"a {long} b"), (2, f"a {long}x"), (3, "w0 w1 w2"), (4, "w0  w1")]
+    df = spark.createDataFrame(rows, "pair_id long, source string")
+    got = {(r.pair_id, len(r.term)) for r in t.extract_terms(df, g).collect()}
+    assert got == {(1, len(long)), (1, 5), (2, 5), (3, 5)}
+
+
+def test_terms_with_the_mark_in_them(spark):
+    entries = [(1, "oil", "x"), (2, "term>oil", "y"), (3, "well<", "z"), (4, "term", "u")]
+    g = t.glossary_load(spark.createDataFrame(entries, "ord long, en string, no string"))
+    texts_ = ["oil well", "nothing", "a term", "well oil"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "pair_id long, source string")
+
+    def plain(text):
+        for term in sorted((e[1] for e in entries), key=len, reverse=True):
+            text = re.sub(r"\b" + re.escape(term) + r"\b", f"<TERM>{term}</TERM>", text, flags=re.IGNORECASE)
+        return text
+
+    got = {r.pair_id: r.source for r in t.mark_terms(df, g).collect()}
+    assert got == {i: plain(x) for i, x in enumerate(texts_)}
