@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitekst.functions.text import clean, words
+from bitekst.operators import cleaning
 from bitekst.operators.terminology import glossary_load
 
 
@@ -151,6 +152,30 @@ def sentences(spark: SparkSession, sf_dir: str, per_doc: int = 10) -> DataFrame:
     return english.unionByName(other)
 
 
+def merged_sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences of documents and of a copy that lacks the last one of every second document: as
+    they are split (doc_id, side, pos), and merged with vectors (doc_id, side, pos, sent, v).
+
+    Vectors count letters, for want of a model.
+    """
+    d = titled(spark, sf_dir).select("doc_id", cleaning.split_sentences(F.col("text"), "en").alias("s"))
+    d = d.withColumn("m", cleaning.merge_short(F.col("s"), 10))
+
+    def sides(c: str) -> DataFrame:
+        short = F.slice(F.col(c), F.lit(1), F.greatest(F.size(c) - F.col("doc_id") % 2, F.lit(0)).cast("int"))
+        both = F.array(
+            F.struct(F.lit("en").alias("side"), F.col(c).alias("x")),
+            F.struct(F.lit("no").alias("side"), F.transform(short, lambda t: F.concat(F.lit("no: "), t)).alias("x")),
+        )
+        rows = d.select("doc_id", F.inline(both)).select("doc_id", "side", F.posexplode("x").alias("pos", "sent"))
+        return rows.withColumn("pos", F.col("pos").cast("long"))
+
+    text = F.regexp_replace("sent", "^no: ", "")
+    count = [(F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit(""))) + 1) for c in "aeiounrs"]
+    merged = sides("m").withColumn("v", F.array(*[c.cast("double") for c in count]))
+    return sides("s").drop("sent"), merged
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiment runs, one per order line; a supplier is an experiment.
 

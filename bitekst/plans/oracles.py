@@ -441,6 +441,18 @@ sent as (
     lambda s: s <> '' and len(string_split(s, ' ')) >= 3) as s from cut)
 """
 
+MERGED = SPLIT_SENTENCES + """,
+folded as (
+  select doc_id, list_reduce(list_prepend({done: []::varchar[], held: ''},
+      list_transform(s, lambda x: {done: []::varchar[], held: x})),
+    lambda acc, x: case when len(string_split(trim(acc.held || ' ' || x.held), ' ')) < 10
+      then {done: acc.done, held: trim(acc.held || ' ' || x.held)}
+      when acc.held <> '' then {done: list_append(acc.done, acc.held), held: x.held}
+      else {done: acc.done, held: x.held} end) as f
+  from sent),
+merged as (select doc_id, case when f.held <> '' then list_append(f.done, f.held) else f.done end as m from folded)
+"""
+
 ORACLES: dict[str, str] = {
     # text
     "clean_text": f"select doc_id, {clean('text')} as cleaned from documents",
@@ -448,16 +460,7 @@ ORACLES: dict[str, str] = {
     "drop_dup_title": f"with {TITLED}, {DROPPED} select doc_id, body from body",
     "split_sentences": f"""with {SPLIT_SENTENCES}
 select doc_id, unnest(range(0, len(s))) as pos, unnest(s) as sentence from sent""",
-    "merge_short": f"""with recursive {SPLIT_SENTENCES},
-folded as (
-  select doc_id, list_reduce(list_prepend({{done: []::varchar[], held: ''}},
-      list_transform(s, lambda x: {{done: []::varchar[], held: x}})),
-    lambda acc, x: case when len(string_split(trim(acc.held || ' ' || x.held), ' ')) < 10
-      then {{done: acc.done, held: trim(acc.held || ' ' || x.held)}}
-      when acc.held <> '' then {{done: list_append(acc.done, acc.held), held: x.held}}
-      else {{done: acc.done, held: x.held}} end) as f
-  from sent),
-merged as (select doc_id, case when f.held <> '' then list_append(f.done, f.held) else f.done end as m from folded)
+    "merge_short": f"""with recursive {MERGED}
 select doc_id, unnest(range(0, len(m))) as pos, unnest(m) as sentence from merged""",
     "strip_outputs": f"""select doc_id as pair_id, {strip("'  ' || text || chr(10)")} as prediction,
   {strip("text || chr(9) || ' '")} as reference from documents""",
@@ -524,6 +527,12 @@ select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, 'mutu
 select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
     "align_long_documents": f"""with recursive {SENTENCES.replace('e.vec_id // 10', 'e.vec_id // 500')}
 select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
+    "align_from_texts": f"""with recursive {MERGED},
+sizes as (
+  select m.doc_id, len(s) as a, greatest(len(s) - m.doc_id % 2, 0) as b, len(m) as c, len(m) - m.doc_id % 2 as d
+  from merged m join sent using (doc_id) where len(s) > 0)
+select doc_id, a as en_sentences, b as no_sentences, case when d > 0 then d else 0 end as aligned_pairs,
+  case when d > 0 then 1.0 else 0.0 end::double as avg_similarity from sizes""",
     "align_doc_stats": f"""with recursive {SENTENCES}
 select doc_id, en_sentences, no_sentences, aligned_pairs, {r6('avg_similarity')} from doc_stats""",
     "align_progressively": f"""with recursive {SENTENCES}

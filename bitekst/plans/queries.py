@@ -211,6 +211,14 @@ def align_long_documents(spark, sf):
     return rounded(alignment.align_documents(materialize(inputs.sentences(spark, sf, 500))))
 
 
+@query
+def align_from_texts(spark, sf):
+    """Split, merge, vectors, alignment; counts are those of the sentences before merging."""
+    split, merged = inputs.merged_sentences(spark, sf)
+    merged = materialize(merged)
+    return rounded(alignment.align_doc_stats(split, alignment.align_documents(merged)))
+
+
 @query
 def align_doc_stats(spark, sf):
     return rounded(alignment.align_doc_stats(*_aligned(spark, sf)))
