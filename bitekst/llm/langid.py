@@ -26,8 +26,8 @@ SWITCH = 6.0
 SAMPLE = 1500
 #: Smallest share of a language's letters in a script that makes it a candidate there.
 IN_SCRIPT = 0.01
-#: Code points scored at once.
-CHARS = 1 << 21
+#: Code points scored at once, and words labelled at once (or one text, if it is longer).
+CHARS, WORDS = 1 << 20, 1 << 20
 #: First code points of scripts; each goes on until the next.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -164,7 +164,7 @@ def word_scores(reader: Reader, model: dict, texts: list[str]):
     """Scores by word and language; a language that is not written in the word's script is out,
     unless no language is."""
     low, text_of, first, end, script = reader.words(texts)
-    scores = np.zeros((len(first), len(model["langs"])))
+    scores = np.zeros((len(first), len(model["langs"])), np.float32)
     word_of = np.zeros(len(low), np.int64)
     word_of[first] = 1
     word_of = np.cumsum(word_of) - 1
@@ -174,7 +174,8 @@ def word_scores(reader: Reader, model: dict, texts: list[str]):
             scores[:, k] += np.bincount(word, model["grams"][place, k], len(first))
     allowed = model["scripts"][script]
     allowed |= ~allowed.any(axis=1, keepdims=True)
-    return np.where(allowed, scores, -1e9), text_of, first, end
+    scores[~allowed] = -1e9
+    return scores, text_of, first, end
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
@@ -225,34 +226,46 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "
     def make():
         reader = Reader()
 
-        def run(b):
-            texts = [t or "" for t in b["text"]]
-            parts, offset = [], 0
-            for i, j in _slices(texts, CHARS) if langs else ():
-                scores, text_of, first, end = word_scores(reader, model, texts[i:j])
-                base = np.cumsum([1, *(len(t) + 1 for t in texts[i:j])])[text_of]
-                parts.append((scores, text_of + i, first - base, end - base))
-            out = {"doc_id": b["doc_id"], "row": b[ROW], "lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts)}
-            if spans:
-                out["spans"] = [[] for _ in texts]
-            if not parts:
-                return out
-            scores, text_of, first, end = (np.concatenate(c) for c in zip(*parts))
-            label = viterbi(scores, np.bincount(text_of, minlength=len(texts)), SWITCH)
-            letters = np.zeros((len(texts), len(langs)))
+        def judge(part, out):
+            """Label the words of neighbouring texts and write down their results."""
+            scores, text_of, first, end = (np.concatenate(c) for c in zip(*part))
+            if not len(text_of):
+                return
+            base = int(text_of[0])
+            text_of = text_of - base
+            count = int(text_of[-1]) + 1
+            label = viterbi(scores, np.bincount(text_of, minlength=count), SWITCH)
+            letters = np.zeros((count, len(langs)))
             np.add.at(letters, (text_of, label), end - first)
             total = letters.sum(axis=1)
             best = letters.argmax(axis=1)
             for i in np.flatnonzero(total):
-                out["lang_pred"][i] = langs[best[i]]
-                out["score"][i] = float(letters[i, best[i]] / total[i])
-            if spans and len(label):
+                out["lang_pred"][base + i] = langs[best[i]]
+                out["score"][base + i] = float(letters[i, best[i]] / total[i])
+            if spans:
                 new = np.flatnonzero((label[1:] != label[:-1]) | (text_of[1:] != text_of[:-1])) + 1
                 opens, closes = np.concatenate([[0], new]), np.concatenate([new, [len(label)]]) - 1
                 for i, j in zip(opens, closes):
-                    out["spans"][text_of[i]].append(
+                    out["spans"][base + text_of[i]].append(
                         {"start": int(first[i]), "end": int(end[j]), "lang": langs[label[i]]}
                     )
+
+        def run(b):
+            texts = [t or "" for t in b["text"]]
+            out = {"doc_id": b["doc_id"], "row": b[ROW], "lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts)}
+            if spans:
+                out["spans"] = [[] for _ in texts]
+            part, held = [], 0
+            for i, j in _slices(texts, CHARS) if langs else ():
+                scores, text_of, first, end = word_scores(reader, model, texts[i:j])
+                base = np.cumsum([1, *(len(t) + 1 for t in texts[i:j])])[text_of]
+                part.append((scores, text_of + i, first - base, end - base))
+                held += len(first)
+                if held >= WORDS:
+                    judge(part, out)
+                    part, held = [], 0
+            if part:
+                judge(part, out)
             return out
 
         return run

@@ -78,6 +78,7 @@ def test_slices_do_not_change_results(spark, monkeypatch):
     ).coalesce(1)
     whole = langid.identify(docs, m).collect()
     monkeypatch.setattr(langid, "CHARS", 100)
+    monkeypatch.setattr(langid, "WORDS", 60)
     assert langid.identify(docs, m).collect() == whole
 
 
