@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bitekst.llm import warc
+from bitekst.llm.common import stored
 from bitekst.session import scratch_path
 
 VERSION = warc.VERSION
@@ -65,9 +66,10 @@ def want(rows, least=0):
 
 def test_round_trip(spark):
     df, rows = pages(spark)
+    df = stored(df.repartition(3), "pages")
     for segment, least, split in ((300, 0, "1m"), (16384, 6, "1m"), (1000, 0, "700")):
         path = scratch_path(spark, "warc")
-        warc.write_warc(df.repartition(3), path, segment=segment, revisit_from=least)
+        warc.write_warc(df, path, segment=segment, revisit_from=least)
         old = spark.conf.get("spark.sql.files.maxPartitionBytes")
         try:
             spark.conf.set("spark.sql.files.maxPartitionBytes", split)
