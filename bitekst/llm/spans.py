@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +18,27 @@ from bitekst.llm.common import by_batch, pick, row_key, stored
 
 SENTENCES, WORDS = 2, 12
 #: A sentence with the white space behind it: up to closing marks before white space, or a line end.
-PIECE = re.compile(r"[^.!?\n]*+(?:[.!?]++[^ \t\n\r\f\v.!?][^.!?\n]*+)*+[.!?]*+[ \t\n\r\f\v]*+")
-SPACE = " \t\n\r\f\v"
+#: It looks at ASCII characters only, so it cuts UTF-8 as well as text.
+PIECE = re.compile(rb"[^.!?\n]*+(?:[.!?]++[^ \t\n\r\f\v.!?][^.!?\n]*+)*+[.!?]*+[ \t\n\r\f\v]*+")
 
 
-def pieces(text: str) -> list[str]:
+def pieces(text: bytes) -> list[bytes]:
     """The sentences of a text; together they are the text."""
     return [p for p in PIECE.findall(text) if p]
 
 
-def runs(words: list[list[str]], sentences: int, least: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest run from each sentence on that is long enough."""
-    ends, out, j, total = len(words), [], -1, 0
+def runs(sizes: list[int], sentences: int, least: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest run from each sentence on that is long enough, of the numbers
+    of words of the sentences."""
+    ends, out, j, total = len(sizes), [], -1, 0
     for i in range(ends):
         while j + 1 < ends and (j + 1 < i + sentences or total < least):
             j += 1
-            total += len(words[j])
+            total += sizes[j]
         if j + 1 < i + sentences or total < least:
             break
         out.append((i, j))
-        total -= len(words[i])
+        total -= sizes[i]
     return out
 
 
@@ -45,26 +47,24 @@ def span_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -
     """(doc_id, row, first, last, h1, h2): the hashed runs of every text."""
 
     def make():
-        to_words = str.maketrans(dict.fromkeys(SPACE, " "))
-
         def run(b: dict) -> dict:
-            out = {k: [] for k in ("doc_id", "row", "first", "last", "h1", "h2")}
+            out = {k: [] for k in ("doc_id", "row", "first", "last")}
+            hashes = []
             for doc_id, row, text in zip(b["doc_id"], b["row"], b["text"]):
-                w = [[x for x in p.translate(to_words).split(" ") if x] for p in pieces(text or "")]
-                for i, j in runs(w, sentences, words):
-                    whole = " ".join([x for s in w[i : j + 1] for x in s])
-                    h = xxhash.xxh3_128_digest(whole.encode("utf-8", "surrogatepass"))
-                    out["doc_id"].append(doc_id)
-                    out["row"].append(row)
-                    out["first"].append(i)
-                    out["last"].append(j)
-                    out["h1"].append(int.from_bytes(h[:8], "little", signed=True))
-                    out["h2"].append(int.from_bytes(h[8:], "little", signed=True))
-            return out
+                split = [p.split() for p in pieces(text or b"")]
+                found = runs([len(w) for w in split], sentences, words)
+                plain = [b" ".join(w) for w in split]
+                hashes += [xxhash.xxh3_128_digest(b" ".join(filter(None, plain[i : j + 1]))) for i, j in found]
+                out["doc_id"] += [doc_id] * len(found)
+                out["row"] += [row] * len(found)
+                out["first"] += [i for i, _ in found]
+                out["last"] += [j for _, j in found]
+            halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            return out | {"h1": np.ascontiguousarray(halves[:, 0]), "h2": np.ascontiguousarray(halves[:, 1])}
 
         return run
 
-    texts = pick(docs, "doc_id", "text").select("doc_id", row_key("doc_id", "text").alias("row"), "text")
+    texts = pick(docs, "doc_id", "text").select("doc_id", row_key("doc_id", "text").alias("row"), F.col("text").cast("binary"))
     return by_batch(texts, make, "doc_id long, row long, first int, last int, h1 long, h2 long")
 
 
@@ -99,7 +99,7 @@ def remove_repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     on = (texts["row"] == gone["_r"]) & texts["doc_id"].eqNullSafe(gone["_id"])
     joined = texts.join(gone, on, "left").select(
         "doc_id",
-        "text",
+        F.col("text").cast("binary").alias("text"),
         F.transform("spans", lambda s: s["first"]).alias("firsts"),
         F.transform("spans", lambda s: s["last"]).alias("lasts"),
     )
@@ -117,7 +117,7 @@ def remove_repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
                 for k in range(max(i, upto), j + 1):
                     drop[k] = 1
                 upto = max(upto, j + 1)
-            return len(p), sum(drop), "".join(x for x, d in zip(p, drop) if not d)
+            return len(p), sum(drop), b"".join(x for x, d in zip(p, drop) if not d)
 
         def run(b):
             done = [one(*r) for r in zip(b["text"], b["firsts"], b["lasts"])]
@@ -130,7 +130,8 @@ def remove_repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
 
         return run
 
-    return by_batch(joined, make, "doc_id long, n_sentences long, n_removed long, text string")
+    out = by_batch(joined, make, "doc_id long, n_sentences long, n_removed long, text binary")
+    return out.withColumn("text", F.col("text").cast("string"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
