@@ -55,8 +55,8 @@ def drop_boilerplate(
 
     Lines are compared without outer spaces; blank lines stay. A null text stays null, an empty
     one empty, and a text of nothing but boilerplate becomes empty. Every row is a page: repeated
-    rows count each and are treated alike. ``dropped`` names a further column for the number of
-    lines left out.
+    rows count each and are treated alike. ``dropped`` names a column for the number of lines
+    left out; it replaces one of that name.
     """
     found = stored(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     p = pages.select(
@@ -87,7 +87,7 @@ def drop_boilerplate(
     kept = F.filter(all_lines, lambda x: ~F.array_contains(hits[gone], _hash(F.trim(x))))
     clean = F.when(hits[gone].isNull(), keyed[text]).otherwise(F.array_join(kept, "\n"))
     n = F.when(hits[gone].isNull(), 0).otherwise(F.size(all_lines) - F.size(kept))
-    out = [clean.alias(c) if c == text else keyed[c] for c in pages.columns]
+    out = [clean.alias(c) if c == text else keyed[c] for c in pages.columns if c != dropped]
     return joined.select(*out, *([n.cast("long").alias(dropped)] if dropped else []))
 
 

@@ -15,10 +15,10 @@ TEXTS = [
     (7, "x", "de", "c"),
     (8, "Überall   ist Weißraum.\r\nУлица и дом 😀 漢字", "de", "c"),
 ]
-EXTRA = "row long, fp long, label string, h long, cell int, spans string, id long, host string, _llm_row long"
+EXTRA = "row long, fp long, label string, h long, cell int, spans string, id long, host string, _llm_row long, n_dropped long, leak_id long"
 
 
 def documents(spark, rows=TEXTS):
-    extra = (0, 0, "", 0, 0, "", 0, "", 0)
+    extra = (0, 0, "", 0, 0, "", 0, "", 0, 0, 0)
     data = [(*r, len(r[1] or ""), *extra) for r in rows]
     return spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}")

@@ -6,11 +6,11 @@ from tests.llm import odd
 
 def test_lines_odd(spark):
     docs = odd.documents(spark)
-    out = lines.drop_boilerplate(docs, ratio=0.3, min_pages=2, dropped="n_dropped")
-    assert out.columns == [*docs.columns, "n_dropped"]
+    out = lines.drop_boilerplate(docs, ratio=0.3, min_pages=2, dropped="gone")
+    assert out.columns == [*docs.columns, "gone"]
     rows = out.collect()
     assert len(rows) == docs.count()
-    by_text = Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in rows)
+    by_text = Counter((r["doc_id"], r["text"], r["gone"]) for r in rows)
     # two of five pages of site a have both lines
     assert by_text[(1, "", 2)] == 2
     assert by_text[(2, None, 0)] == 1 and by_text[(3, "", 0)] == 1 and by_text[(4, " \n\t ", 0)] == 1
