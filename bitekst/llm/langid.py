@@ -76,6 +76,8 @@ class Reader:
         h = np.zeros(len(low), np.uint64)
         for n in range(1, ORDER + 1):
             size = len(low) - n + 1
+            if size <= 0:  # a batch of next to nothing
+                break
             h = h[:size] * np.uint64(0x100000001B3) + low[n - 1 :] * np.uint64(0x9E3779B97F4A7C15)
             if n == 1:
                 continue

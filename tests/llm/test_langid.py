@@ -69,6 +69,13 @@ def test_words_are_runs_of_letters():
     assert "".join(map(chr, low[first[5] : end[5]])) == "àç"
 
 
+def test_batches_of_next_to_nothing(spark):
+    m = model(spark)
+    for text in ("", "x", " ", "1"):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        assert langid.identify(docs, m).count() == 1
+
+
 def test_slices_do_not_change_results(spark, monkeypatch):
     m = model(spark)
     rng = np.random.default_rng(3)
