@@ -67,7 +67,9 @@ def numbered(df: DataFrame) -> DataFrame:
 def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs`` that have (left_semi) or do not have (left_anti) their number among
     ``found.row``; null ids and repeated rows are no special case."""
-    return numbered(docs).join(found.select(F.col("row").alias(ROW)), ROW, how).select(*docs.columns)
+    name = fresh(docs, ROW)
+    marked = docs.withColumn(name, F.monotonically_increasing_id())
+    return marked.join(found.select(F.col("row").alias(name)), name, how).select(*docs.columns)
 
 
 def row_key(id_col: str, text_col: str) -> Column:

@@ -79,7 +79,7 @@ def test_against_plain_stages(spark):
     docs = [r.asDict() for r in table.collect()]
     model = langid.learn(table)
     judged = {r["doc_id"]: r for r in langid.identify(table, model, spans=False).collect()}
-    docs = [d for d in docs if judged[d["doc_id"]]["lang_pred"] != "und" and judged[d["doc_id"]]["score"] >= 0.5]
+    docs = [d for d in docs if judged[d["doc_id"]]["lang_pred"] != "und" and judged[d["doc_id"]]["score"] >= pipeline.ONE_LANGUAGE]
     assert len(docs) >= 199
     docs = plain_lines(docs)
     docs = plain_near(docs)
@@ -102,6 +102,7 @@ def test_odd_documents_through_all_stages(spark):
             out = stored(stage(spark, docs, SF), name)
             if name != "packing":
                 assert out.columns == docs.columns
+                assert {r["_llm_row"] for r in out.collect()} <= {0}
             docs = out
         if rows:
             assert {r["doc_id"] for r in docs.collect()} >= {1, 6, 7, 8}
