@@ -28,12 +28,17 @@ def _hashes(text: Column) -> Column:
 
 
 def boilerplate(
-    pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, once: bool = False
 ) -> DataFrame:
     """(host, line): hashes of the lines on more than ``ratio`` of the pages of their host and on
-    at least ``min_pages``. A null host is a host of its own."""
+    at least ``min_pages``. A null host is a host of its own. With ``once`` pages of equal text
+    (128-bit hash) on one host are one page, for the lines and for the number of pages."""
     p = pages.select(pages[host].alias("host"), pages[text].alias("text"))
-    lines = p.select("host", F.explode(F.array_distinct(F.array_compact(_hashes(F.col("text"))))).alias("line"))
+    p = p.select("host", "text", F.array_distinct(F.array_compact(_hashes(F.col("text")))).alias("lines"))
+    if once:
+        p = p.groupBy("host", _hash(F.col("text")).alias("page")).agg(F.any_value("lines").alias("lines"))
+        p = stored(p, "pages")
+    lines = p.select("host", F.explode("lines").alias("line"))
     often = lines.groupBy("host", "line").count().filter(F.col("count") >= min_pages)
     total = p.groupBy("host").agg(F.count("*").alias("pages"))
     both = often.alias("o").join(
@@ -50,15 +55,17 @@ def drop_boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     dropped: str | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """The pages with their boilerplate lines left out; every other column stays.
 
     Lines are compared without outer spaces; blank lines stay. A null text stays null, an empty
     one empty, and a text of nothing but boilerplate becomes empty. Every row is a page: repeated
-    rows count each and are treated alike. ``dropped`` names a column for the number of lines
-    left out; it replaces one of that name.
+    rows count each and are treated alike; with ``once`` pages of equal text on one host count as one
+    page, so that copies alone make no line boilerplate. ``dropped`` names a column for the number of
+    lines left out; it replaces one of that name.
     """
-    found = stored(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
+    found = stored(boilerplate(pages, host, text, ratio, min_pages, once), "boilerplate")
     p = pages.select(
         pages[id_col].alias("id"), row_key(id_col, text).alias("row"),
         pages[host].alias("host"), pages[text].alias("text"),
