@@ -183,7 +183,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     """
     raw = spark.read.option("lineSep", VERSION.decode()).text(f"{path}/records")
     raw = raw.select(F.col("value").cast("binary").alias("value")).filter(F.octet_length("value") > 0)
-    hint = F.locate("WARC-Segment-", F.substring(F.col("value"), 1, 4096).cast("string")) > 0
+    header = F.substring_index(F.col("value").cast("string"), "\r\n\r\n", 1)
+    hint = header.rlike(r"(?im)^[ \t]*warc-segment-")
 
     def split():
         names = {
