@@ -64,12 +64,12 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` that have (left_semi) or do not have (left_anti) their number among
-    ``found.row``; null ids and repeated rows are no special case."""
-    name = fresh(docs, ROW)
-    marked = docs.withColumn(name, F.monotonically_increasing_id())
-    return marked.join(found.select(F.col("row").alias(name)), name, how).select(*docs.columns)
+def numbered_once(df: DataFrame) -> tuple[DataFrame, str]:
+    """A stored copy of the table with a row number, and the name of its column. Numbers made anew in
+    a second scan mean other rows if the files are split otherwise, as after the loss of an executor;
+    these stay with their rows."""
+    name = fresh(df, ROW)
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def row_key(id_col: str, text_col: str) -> Column:

@@ -214,9 +214,11 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
-def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
-    """(doc_id, row, lang_pred, score, spans), one row per row of ``docs``; ``row`` numbers the rows
-    of the scan.
+def identify(
+    docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", spans: bool = True, row: str | None = None
+) -> DataFrame:
+    """(doc_id, row, lang_pred, score, spans), one row per row of ``docs``; ``row`` is the stored number
+    in the column of that name, or else numbers the rows of the scan.
 
     ``spans`` lists start, end (code points, end exclusive) and language of neighbouring words of
     one label. ``lang_pred`` is the language with the most letters, the first by name among equals;
@@ -275,7 +277,8 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "
     schema = "doc_id long, row long, lang_pred string, score double"
     if spans:
         schema += ", spans array<struct<start: long, end: long, lang: string>>"
-    texts = numbered(docs).select(docs[id_col].cast("long").alias("doc_id"), ROW, docs[text].alias("text"))
+    rows, number = (numbered(docs), F.col(ROW)) if row is None else (docs, docs[row])
+    texts = rows.select(docs[id_col].cast("long").alias("doc_id"), number.alias(ROW), docs[text].alias("text"))
     return by_batch(texts, make, schema)
 
 
