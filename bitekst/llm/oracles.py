@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bitekst.llm import covertree, decontam, lines, spans
+from bitekst.llm import conversations, covertree, decontam, lines, resampling, spans
 
 SENTENCE_SPANS = f"""
 with d as (select row_number() over () rid, doc_id, text from documents),
@@ -112,10 +112,106 @@ select query_id, row_number() over (partition by query_id order by score desc, v
 from s qualify rank <= {covertree.TOP}
 """
 
+#: The table of CRC-32, and the checksum of a column of texts by it.
+_CRC_TABLE = """
+crc_table as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc_table)"""
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    step = "xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: {step}), 4294967295)"
+
+
+_RESAMPLED_WORDS = """
+{p}w as (select id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) word from {p})"""
+
+IMPORTANCE = f"""
+with d as (select row_number() over () id, doc_id, text from documents),
+b as (select row_number() over () id, text from benchmark),
+{_RESAMPLED_WORDS.format(p="d")},
+{_RESAMPLED_WORDS.format(p="b")},
+{_CRC_TABLE},
+hashed as (select word, {_crc("word")} % {resampling.BUCKETS} bucket
+  from (select word from dw union select word from bw), crc_table),
+s as (select bucket, count(*) n from dw join hashed using (word) group by bucket),
+t as (select bucket, count(*) n from bw join hashed using (word) group by bucket),
+g as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from dw) + {resampling.BUCKETS})
+    / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from bw) + {resampling.BUCKETS}))))::bigint gain
+  from s full join t using (bucket)),
+w as (select id, count(*) n_features, sum(gain) weight from dw join hashed using (word) join g using (bucket) group by id),
+h as (select id, doc_id, coalesce(n_features, 0)::bigint n_features, coalesce(weight, 0)::bigint weight,
+    ('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::bigint::double h from d left join w using (id)),
+c as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint score from h),
+f as (select *, row_number() over (order by score desc, doc_id) k, count(*) over () n from c
+  where n_features >= {resampling.LEAST_WORDS})
+select doc_id, n_features, weight, score, case when k <= {resampling.PERCENT} * n // 100 then k end rank from f
+union all select *, null from c where n_features < {resampling.LEAST_WORDS}
+"""
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: States: 0 nothing kept, 1 behind the system turn, 2 behind a user turn, 3 behind an assistant turn.
+AUDIT_REPAIR = f"""
+with recursive {_CRC_TABLE},
+base as (select conv_id, turn, coalesce(role, ' ') "role", coalesce("text", ' ') "text",
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations),
+kinds as (select base.*, {_crc("k")} % 20 kind from base, crc_table),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else "role" end "role",
+    case kind when 1 then '' when 2 then regexp_replace("text", '[.!?]', '', 'g') else "text" end "text",
+    unnest(range(case when kind = 3 then 2 else 1 end)) copy from kinds where kind <> 0),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, "role", "text") i,
+    rtrim("text", {_BLANKS}) ends from damaged),
+placed as (select *, row_number() over (partition by conv_id, "role", "text" order by i) nth from ordered),
+r as (select conv_id, turn, "role", "text", i, case when ends = '' then 'blank' when nth > 1 then 'duplicate'
+    when right(ends, 1) not in ('.', '!', '?') then 'truncated' else '' end fault,
+    case left("role", 1) when 's' then 0 when 'u' then 1 when 'a' then 2 else 3 end init from placed),
+inserts as (select * from (values (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+    (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')) v(before, q, more, edits)),
+edits as (select * from (values ('K', 0, 0, 1), ('K', 1, 0, 2), ('K', 1, 1, 2), ('K', 1, 3, 2), ('K', 2, 2, 3),
+    ('R', -1, 0, 2), ('R', -1, 1, 2), ('R', -1, 3, 2), ('R', -1, 2, 3),
+    ('D', -1, 0, 0), ('D', -1, 1, 1), ('D', -1, 2, 2), ('D', -1, 3, 3)) v(edit, init, before, q)),
+dp as (select conv_id, 0::bigint i, q, struct_pack(cost := more::bigint, audit := edits) best
+  from (select distinct conv_id from r) c, inserts where before = 0
+  union all
+  select dp.conv_id, r.i, n.q, min(struct_pack(cost := dp.best.cost + n.more
+      + case edit when 'K' then 0 when 'R' then {conversations.REROLE} else {conversations.DELETE} end
+      + case when edit <> 'D' and fault = 'truncated' then {conversations.TRUNCATED} else 0 end,
+      audit := dp.best.audit || edit || n.edits)) best
+  from dp join r on r.conv_id is not distinct from dp.conv_id and r.i = dp.i + 1
+  join edits e on e.before = dp.q and (e.init = -1 or e.init = r.init) and (edit = 'D' or fault not in ('blank', 'duplicate'))
+  join inserts n on n.before = e.q group by dp.conv_id, r.i, n.q),
+stats as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+    count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate,
+    count(*) filter (fault = 'truncated') truncated from r group by conv_id),
+pairs as (select conv_id, left("role", 1) || left(lead("role") over (partition by conv_id order by i), 1) pair from r),
+wrong as (select conv_id, count(*) illegal from pairs where pair is not null and pair not in ('su', 'ua', 'au') group by conv_id),
+done as (select dp.conv_id, min(best) best from dp join stats s on s.conv_id is not distinct from dp.conv_id and dp.i = s.n
+  where q in (0, 3) group by dp.conv_id),
+steps as (select conv_id, pos, substr(best.audit, pos, 1) edit,
+    len(regexp_replace(substr(best.audit, 1, pos), 'I', '', 'g')) i, len(regexp_replace(substr(best.audit, 1, pos), 'D', '', 'g')) o
+  from (select *, unnest(range(1, len(best.audit) + 1)) pos from done)),
+made as (select s.conv_id, pos, edit, o, r."role", case when edit = 'I' then '' else r."text" end "text",
+    max(case when o = 1 and edit = 'K' and init = 0 then 1 else 0 end) over (partition by s.conv_id) sys
+  from steps s left join r on r.conv_id is not distinct from s.conv_id and r.i = s.i where edit <> 'D'),
+whole as (select conv_id, string_agg(case when edit = 'K' then "role" when (o - sys) % 2 = 1 then 'user' else 'assistant' end
+    || ':' || "text", chr(10) order by pos) repaired from made group by conv_id)
+select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate,
+  coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(best.cost, 0) as cost, coalesce(best.audit, '') audit,
+  sha256(coalesce(repaired, '')) repaired_sha256
+from (select distinct conv_id from conversations) c
+left join stats s on s.conv_id is not distinct from c.conv_id left join wrong w on w.conv_id is not distinct from c.conv_id
+left join done d on d.conv_id is not distinct from c.conv_id left join whole o on o.conv_id is not distinct from c.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_sentence_spans": SENTENCE_SPANS,
     "op2_template_windows": TEMPLATE_WINDOWS,
     "op6_site_lines": SITE_LINES,
     "op8_warc_segments": WARC_SEGMENTS,
     "op9_cover_trees": COVER_TREES,
+    "op12_audit_repair": AUDIT_REPAIR,
+    "op13_importance_resampling": IMPORTANCE,
 }

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bitekst.llm import (
+    conversations,
     covertree,
     credentials,
     decontam,
     langid,
     lines,
+    mixing,
     packing,
     pii,
+    resampling,
     simhash,
     spans,
     warc,
@@ -30,4 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_segments": warc.op8,
     "op9_cover_trees": covertree.op9,
     "op10_viterbi_language": langid.op10,
+    "op11_cube_mixing": mixing.op11,
+    "op12_audit_repair": conversations.op12,
+    "op13_importance_resampling": resampling.op13,
 }

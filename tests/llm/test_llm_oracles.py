@@ -27,7 +27,7 @@ def sorted_rows(columns, rows):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
     df = QUERIES[name](spark, SF_DIR)
     cursor = con.execute(ORACLES[name])
