@@ -6,7 +6,7 @@ Input everywhere: ``sentences(doc_id, side, pos, sent, v)`` with side ``en`` or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -262,12 +262,15 @@ def split_branches(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("close").select(columns), marked.filter("not close").select(columns)
 
 
-def align_documents(sentences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All documents: by position when the sentence counts are close, else by mutual best."""
+def align_documents(
+    sentences: DataFrame,
+    threshold: float = THRESHOLD,
+    match: Callable[[DataFrame, float], DataFrame] = align_one_to_one,
+) -> DataFrame:
+    """All documents: by position when the sentence counts are close, else by ``match``: mutual best,
+    or :func:`bitekst.operators.assignment.align_assignment`."""
     sequential, other = split_branches(sentences)
-    return align_sequential(sequential, threshold).unionByName(
-        align_one_to_one(other, threshold)
-    )
+    return align_sequential(sequential, threshold).unionByName(match(other, threshold))
 
 
 def align_doc_stats(sentences: DataFrame, aligned: DataFrame) -> DataFrame:

@@ -133,6 +133,25 @@ doc_stats as (
   from cnt c left join aligned a on a.doc_id = c.doc_id group by all)
 """
 
+# The best assignment by a table over the sets of taken sentences of the shorter side; the longer side
+# goes through it sentence by sentence, each with a partner or without one.
+ASSIGNMENT = f"""{SENTENCES},
+shape as (select doc_id, n_en, n_no from cnt where abs(n_en - n_no) > 1 and least(n_en, n_no) > 0),
+options as (select doc_id, en_pos, no_pos, sim from cells join shape using (doc_id)
+  union all select distinct doc_id, en_pos, -1, 0 from cells join shape using (doc_id)),
+sets as (
+  select doc_id, 0::bigint as n, 0::bigint as taken, struct_pack(total := 0::double, path := []::bigint[]) as b from shape
+  union all
+  select s.doc_id, s.n + 1, case when o.no_pos < 0 then s.taken else s.taken | (1::bigint << o.no_pos::int) end,
+    max(struct_pack(total := s.b.total + o.sim, path := list_append(s.b.path, o.no_pos)))
+  from sets s join options o on o.doc_id = s.doc_id and o.en_pos = s.n and (o.no_pos < 0 or s.taken & (1::bigint << o.no_pos::int) = 0)
+  group by s.doc_id, s.n + 1, case when o.no_pos < 0 then s.taken else s.taken | (1::bigint << o.no_pos::int) end),
+full_ as (
+  select s.doc_id, n_no, unnest(b.path) as no_pos, generate_subscripts(b.path, 1) - 1 as en_pos
+  from sets s join shape using (doc_id) where n = n_en and taken = (1::bigint << n_no::int) - 1),
+assigned as (select c.* from full_ f join cells c on c.doc_id = f.doc_id and c.en_pos = f.en_pos and c.no_pos = f.no_pos)
+"""
+
 _PICK = "case {} % 3 when 0 then {} when 1 then {} else {} end"
 RUNS = f"""
 ln as (
@@ -523,6 +542,17 @@ sides as (
 select doc_id, en_pos, no_pos, {r6('sim', 'similarity')} from sides where a = 1 and b = 1""",
     "align_one_to_one": f"""with recursive {SENTENCES}
 select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, 'mutual' as method from one_to_one""",
+    "align_assignment": f"""with recursive {ASSIGNMENT}
+select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, 'assignment' as method
+from assigned where sim >= 0.75""",
+    "align_documents_best": f"""with recursive {ASSIGNMENT}
+select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, 'assignment' as method
+from assigned where sim >= 0.75
+union all select doc_id, en_pos, no_pos, en, no_, {r6('sim')}, 'sequential' from seq""",
+    "assignment_totals": f"""with recursive {ASSIGNMENT.replace('(a.v, b.v)', '(a.v[1:3], b.v[1:3])')}
+select a.doc_id, count(*) as pairs, {r6('sum(a.sim)', 'best_total')},
+  {r6("coalesce((select sum(sim) from one_to_one o where o.doc_id = a.doc_id), 0)", 'mutual_total')}
+from assigned a group by a.doc_id""",
     "align_documents": f"""with recursive {SENTENCES}
 select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
     "align_long_documents": f"""with recursive {SENTENCES.replace('e.vec_id // 10', 'e.vec_id // 500')}

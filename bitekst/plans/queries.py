@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bitekst.functions import scores, text
 from bitekst.operators import (
     alignment,
+    assignment,
     cleaning,
     corpus,
     encoding,
@@ -205,6 +206,33 @@ def align_documents(spark, sf):
     return rounded(_aligned(spark, sf)[1])
 
 
+@query
+def align_assignment(spark, sf):
+    """The best assignment of documents whose sides differ in length."""
+    _, other = alignment.split_branches(materialize(inputs.sentences(spark, sf)))
+    return rounded(assignment.align_assignment(other))
+
+
+@query
+def align_documents_best(spark, sf):
+    sentences = materialize(inputs.sentences(spark, sf))
+    return rounded(alignment.align_documents(sentences, match=assignment.align_assignment))
+
+
+@query
+def assignment_totals(spark, sf):
+    """What a document's best assignment is worth before the threshold, beside that of repeated
+    mutual-best matching; vectors are cut to three numbers, so that many sentences look alike."""
+    short = inputs.sentences(spark, sf).withColumn("v", F.slice("v", 1, 3))
+    _, other = alignment.split_branches(materialize(short))
+    best = assignment.best_in_tasks(other).groupBy("doc_id").agg(
+        F.count("*").alias("pairs"), F.sum("similarity").alias("best_total")
+    )
+    mutual = alignment.align_one_to_one(other).groupBy("doc_id").agg(F.sum("similarity").alias("mutual_total"))
+    total = F.coalesce("mutual_total", F.lit(0.0)).alias("mutual_total")
+    return rounded(best.join(mutual, "doc_id", "left").select("doc_id", "pairs", "best_total", total))
+
+
 @query
 def align_long_documents(spark, sf):
     """Documents of five hundred sentences, more than one block of the similarity matrix."""
