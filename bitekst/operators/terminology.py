@@ -1,16 +1,22 @@
 """Glossary, term search, term marking and term accuracy.
 
 A term can only match where its text is a run of whole pieces (runs of word and of non-word
-characters), because both its ends are word boundaries. So the search is an equi-join: the distinct
-piece sequences of a text, of the lengths that occur in the glossary, against the terms.
+characters), because both its ends are word boundaries. A glossary of a measured size is sent to the
+workers, and one walk over a text's pieces finds all its terms. With a larger one the search is an
+equi-join: the distinct piece sequences of a text, of the lengths that occur in the glossary, against
+the terms.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitekst.functions.fuzzy import partial_ratios
+from bitekst.functions.patterns import Patterns
 from bitekst.functions.text import (
     WORD,
     literal_replacement,
@@ -19,7 +25,7 @@ from bitekst.functions.text import (
     whole_word_pattern,
 )
 from bitekst.operators.scoring import beside, evaluate_all
-from bitekst.session import broadcast_if_small
+from bitekst.session import broadcast_if_small, materialize, size_in_bytes
 
 # The marks, and the similarity from which a term counts as found.
 TERM_START, TERM_END = "<TERM>", "</TERM>"
@@ -100,11 +106,76 @@ def _hits(df: DataFrame, terms: DataFrame, row_id: str, text: str) -> DataFrame:
     return whole.unionByName(rows.select(row_id, F.inline(there)))
 
 
+# Largest measured size of a glossary that every worker holds: a few hundred thousand terms.
+WALK_BYTES = 16 * 1024 * 1024
+
+
+def _sent(terms: DataFrame, most: int) -> Broadcast | None:
+    """The terms for the workers, or nothing if they are more than ``most`` bytes."""
+    terms = materialize(terms)
+    if size_in_bytes(terms) > most:
+        return None
+    return terms.sparkSession.sparkContext.broadcast({"table": terms.toArrow()})
+
+
+def _patterns(sent: Broadcast) -> Patterns:
+    """The walk over the sent terms; a worker builds it once and keeps it with them."""
+    held = sent.value
+    if "patterns" not in held:
+        held["patterns"] = Patterns(held["table"], TERM_START, TERM_END)
+    return held["patterns"]
+
+
 def extract_terms(
-    df: DataFrame, glossary: DataFrame, row_id: str = "pair_id", text: str = "source"
+    df: DataFrame,
+    glossary: DataFrame,
+    row_id: str = "pair_id",
+    text: str = "source",
+    walk_bytes: int = WALK_BYTES,
 ) -> DataFrame:
     """(row_id, term, ord): every glossary source term that occurs in the row as whole words."""
-    return _hits(df, glossary.select(F.col("src_term").alias("term"), "ord"), row_id, text)
+    terms = glossary.select(F.col("src_term").alias("term"), "ord")
+    sent = _sent(terms, walk_bytes)
+    if sent is None:
+        return _hits(df, terms, row_id, text)
+
+    @F.arrow_udf(T.ArrayType(terms.schema))
+    def found(texts: pa.Array) -> pa.Array:
+        return _patterns(sent).found(texts)
+
+    return df.select(row_id, found(text).alias("found")).select(row_id, F.inline("found"))
+
+
+def _terms_with_marks(glossary: DataFrame) -> DataFrame:
+    term = F.col("src_term")
+    return glossary.select(
+        term.alias("term"), "ord", whole_word_pattern(term).alias("pattern"),
+        F.concat(F.lit(TERM_START), literal_replacement(term), F.lit(TERM_END)).alias("mark"),
+    )
+
+
+def _marked(sent: Broadcast, text: Column, nested: bool) -> Column:
+    """The marked text, row by row: spliced from the places of the terms. Rows in which a term can
+    occur in a mark have their terms replaced one after the other."""
+    steps = T.StructType().add("pattern", T.StringType()).add("mark", T.StringType())
+
+    @F.arrow_udf(T.StructType().add("text", T.StringType()).add("later", T.ArrayType(steps)))
+    def splice(texts: pa.Array) -> pa.Array:
+        walk = _patterns(sent)
+        done = [walk.marked(t, nested) for t in texts.to_pylist()]
+        offsets, rows = [0], []
+        for _, later in done:
+            rows += later
+            offsets.append(len(rows))
+        steps = walk.table.select(["pattern", "mark"]).combine_chunks().to_struct_array().combine_chunks()
+        later = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), steps.take(pa.array(rows, pa.int64())))
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), later], ["text", "later"])
+
+    done = splice(text)
+    one_by_one = F.aggregate(
+        done["later"], done["text"], lambda acc, t: F.regexp_replace(acc, t["pattern"], t["mark"])
+    )
+    return F.when(F.size(done["later"]) > 0, one_by_one).otherwise(done["text"])
 
 
 def _candidates(
@@ -116,11 +187,7 @@ def _candidates(
     are a handful of texts and tried in every row that has a hit; the others are tried where their
     first other word stands.
     """
-    term = F.col("src_term")
-    terms = glossary.select(
-        term.alias("term"), "ord", whole_word_pattern(term).alias("pattern"),
-        F.concat(F.lit(TERM_START), literal_replacement(term), F.lit(TERM_END)).alias("mark"),
-    )
+    terms = _terms_with_marks(glossary)
     by_length = F.struct((-F.char_length("term")).alias("neg"), "ord", "term", "pattern", "mark").alias("t")
     found = _hits(df, terms, row_id, text).select(row_id, by_length)
     like_mark = F.rlike("term", F.lit(rf"[<>]|(\A|[^{WORD}])term([^{WORD}]|\z)"))
@@ -150,13 +217,17 @@ def mark_terms(
     text: str = "source",
     out: str | None = None,
     nested: bool = True,
+    walk_bytes: int = WALK_BYTES,
 ) -> DataFrame:
     """Wrap every hit as ``<TERM>term</TERM>`` in the lower-cased glossary form.
 
-    Terms are replaced one after the other, so a short term is also marked inside the mark of a
-    longer one. With ``nested=False`` only the left-most longest hits are marked.
+    The result is that of replacing one term after the other, so a short term is also marked inside
+    the mark of a longer one. With ``nested=False`` only the left-most longest hits are marked.
     """
     out = out or text
+    sent = _sent(_terms_with_marks(glossary), walk_bytes)
+    if sent is not None:
+        return df.withColumn(out, _marked(sent, F.col(text), nested))
     candidates = _candidates(df, glossary, row_id, text)
 
     if nested:
