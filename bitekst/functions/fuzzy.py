@@ -4,12 +4,17 @@ Similarity is the normalised indel ratio ``2 * LCS / (len a + len b)``, taken ov
 the longer string that are as long as the shorter one, and over the shorter windows at both ends.
 Built-in ``levenshtein`` is another measure, hence an Arrow UDF; it runs only for terms that an
 exact whole-word check has not found.
+
+Where only a threshold matters, most windows are ruled out beforehand: the common subsequence is no
+longer than the characters that both have, each counted as often as in the poorer one, and these
+counts slide over the text with one difference of running counts for every character of the term.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +27,16 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-def _lcs_of_windows(short: np.ndarray, padded: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of ``short`` with every window of its length, all at once.
+def _lcs_of_windows(short: np.ndarray, padded: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Longest common subsequence of ``short`` with every window of its length, or those that begin
+    at the places ``at``, all at once.
 
     Bit-parallel recurrence, one bit per character of ``short`` in words of 32 bits; the sum of a
     step carries from word to word. Memory grows with (length / 32) times the length of the text.
     """
     m, count = len(short), len(padded) - len(short) + 1
+    if at is not None:
+        count = len(at)
     words = -(-m // WORD)
     masks = np.zeros((words, len(padded)), dtype=np.uint64)
     for i, code in enumerate(short):
@@ -38,7 +46,7 @@ def _lcs_of_windows(short: np.ndarray, padded: np.ndarray) -> np.ndarray:
     for j in range(m):
         carry = np.uint64(0)
         for w in range(words):
-            hit = state[w] & masks[w, j : j + count]
+            hit = state[w] & (masks[w, j : j + count] if at is None else masks[w, at + j])
             total = state[w] + hit + carry
             carry = total >> shift
             state[w] = (total | (state[w] - hit)) & full
@@ -56,6 +64,57 @@ def _best_ratio(short: np.ndarray, long: np.ndarray) -> float:
     return float((2.0 * common / (m + sizes)).max())
 
 
+def _shared(short: np.ndarray, padded: np.ndarray) -> np.ndarray:
+    """Characters that ``short`` shares with every window of its length, as multisets."""
+    m = len(short)
+    total = np.zeros(len(padded) - m + 1, dtype=np.int64)
+    for code, count in zip(*np.unique(short, return_counts=True)):
+        running = np.concatenate([[0], np.cumsum(padded == code)])
+        total += np.minimum(running[m:] - running[:-m], count)
+    return total
+
+
+def _reaches(short: np.ndarray, long: np.ndarray, threshold: float) -> tuple[bool, int, int]:
+    m = len(short)
+    pad = np.full(m - 1, 0xFFFFFFFF, dtype=np.uint32)
+    padded = np.concatenate([pad, long, pad])
+    shared = _shared(short, padded)
+    sizes = np.minimum(np.arange(1, len(shared) + 1), m)
+    sizes = np.minimum(sizes, sizes[::-1])
+    (at,) = np.nonzero(2.0 * shared / (m + sizes) >= threshold)
+    if not len(at):
+        return False, len(shared), 0
+    common = _lcs_of_windows(short, padded, at)
+    return bool((2.0 * common / (m + sizes[at]) >= threshold).any()), len(shared), len(at)
+
+
+def reaches(a: str, b: str, threshold: float) -> tuple[bool, int, int]:
+    """Whether ``partial_ratio(a, b)`` reaches the threshold; the number of windows, and of those that
+    shared characters did not rule out."""
+    if not a or not b:
+        return float(a == b) >= threshold, 0, 0
+    short, long = (_codes(x) for x in sorted((a, b), key=len))
+    found, windows, left = _reaches(short, long, threshold)
+    if len(short) == len(long):
+        again = _reaches(long, short, threshold)
+        found, windows, left = found or again[0], windows + again[1], left + again[2]
+    return found, windows, left
+
+
+def similar_terms(terms: Column, text: Column, threshold: float) -> Column:
+    """Struct of three arrays for the terms of a row: whether the row's text has a similar enough
+    passage, its windows, and how many of them had to be compared."""
+    kind = T.StructType().add("found", T.ArrayType(T.BooleanType()))
+    kind = kind.add("windows", T.ArrayType(T.LongType())).add("compared", T.ArrayType(T.LongType()))
+
+    @F.pandas_udf(kind)
+    def rate(terms: pd.Series, text: pd.Series) -> pd.DataFrame:
+        rated = [list(zip(*[reaches(t, x, threshold) for t in ts])) or [[], [], []] for ts, x in zip(terms, text)]
+        return pd.DataFrame(rated, columns=kind.names)
+
+    return rate(terms, text)
+
+
 def partial_ratio(a: str, b: str) -> float:
     """0..1; 1 when the shorter string occurs in the longer one."""
     if not a or not b:
@@ -67,9 +126,3 @@ def partial_ratio(a: str, b: str) -> float:
     if len(short) == len(long):
         best = max(best, _best_ratio(_codes(long), _codes(short)))
     return best
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def partial_ratios(terms: pd.Series, text: pd.Series) -> pd.Series:
-    """Similarity of each term of a row with the row's text."""
-    return pd.Series([[partial_ratio(t, x) for t in ts] for ts, x in zip(terms, text)])

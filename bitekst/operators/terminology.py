@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitekst.functions.fuzzy import partial_ratios
+from bitekst.functions.fuzzy import similar_terms
 from bitekst.functions.patterns import Patterns
 from bitekst.functions.text import (
     WORD,
@@ -316,25 +316,52 @@ def term_in_prediction(
     threshold: float = FUZZY_THRESHOLD,
 ) -> DataFrame:
     """expected(row_id, term) with ``found``: a whole-word hit, else a similar enough passage."""
+    checked = _whole_words(df, expected, glossary, row_id, hyp)
+    if not fuzzy:
+        return checked
+    similar = _similar(df, checked, row_id, hyp, threshold).select(row_id, "term", "found")
+    return checked.filter("found").unionByName(similar)
+
+
+def _whole_words(df: DataFrame, expected: DataFrame, glossary: DataFrame, row_id: str, hyp: str) -> DataFrame:
     targets = glossary.groupBy(F.col("tgt_term").alias("src_term")).agg(F.min("ord").alias("ord"))
     hits = extract_terms(df, targets, row_id, hyp).select(row_id, "term", F.lit(True).alias("hit"))
-    checked = expected.join(hits, [row_id, "term"], "left").select(
+    return expected.join(hits, [row_id, "term"], "left").select(
         row_id, "term", F.coalesce("hit", F.lit(False)).alias("found")
     )
-    if not fuzzy:
-        return checked
-    # One line per row, so that the prediction travels once and not once per term.
+
+
+def _similar(df: DataFrame, checked: DataFrame, row_id: str, hyp: str, threshold: float) -> DataFrame:
+    """(row_id, term, found, windows, compared) of the terms that are not there as whole words. One
+    line per row is rated, so that the prediction travels once and not once per term."""
     open_terms = (
         checked.filter("not found").groupBy(row_id).agg(F.collect_list("term").alias("terms"))
     )
-    texts = df.select(row_id, F.lower(hyp).alias("text"))
+    texts = df.select(row_id, F.lower(F.coalesce(F.col(hyp), F.lit(""))).alias("text"))
     rated = open_terms.join(texts, row_id).select(
-        row_id, "terms", partial_ratios("terms", "text").alias("ratios")
+        row_id, "terms", similar_terms(F.col("terms"), F.col("text"), threshold).alias("r")
+    )
+    lines = F.arrays_zip("terms", "r.found", "r.windows", "r.compared")
+    return rated.select(row_id, F.inline(lines)).toDF(row_id, "term", "found", "windows", "compared")
+
+
+def fuzzy_windows(
+    df: DataFrame,
+    expected: DataFrame,
+    glossary: DataFrame,
+    row_id: str = "pair_id",
+    hyp: str = "prediction",
+    threshold: float = FUZZY_THRESHOLD,
+) -> DataFrame:
+    """What the similarity check takes, one line: terms not there as whole words, those found by
+    similarity, windows of the texts, and windows that shared characters did not rule out."""
+    checked = _whole_words(df, expected, glossary, row_id, hyp)
+    return _similar(df, checked, row_id, hyp, threshold).agg(
+        F.count("*").alias("open_terms"),
+        F.count_if("found").alias("similar_terms"),
+        F.coalesce(F.sum("windows"), F.lit(0)).alias("windows"),
+        F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"),
     )
-    similar = rated.select(
-        row_id, F.explode(F.arrays_zip("terms", "ratios")).alias("z")
-    ).select(row_id, F.col("z.terms").alias("term"), (F.col("z.ratios") >= threshold).alias("found"))
-    return checked.filter("found").unionByName(similar)
 
 
 def term_accuracy_rows(

@@ -389,7 +389,60 @@ checked as (
   select e.pair_id, e.term, contains(x, {bracket('e.term')}) as found
   from expected e join texts on texts.pair_id = e.pair_id)
 """
-TERM_ROWS = TERM_CHECK + """,
+# The longest term of which the characters are counted below.
+_LONGEST_TERM = 40
+_SHARED = " + ".join(
+    f"case when {k} > length(cs) then 0 else least(length(w) - length(replace(w, substr(cs, {k}, 1), '')), "
+    f"m - length(replace(s, substr(cs, {k}, 1), ''))) end"
+    for k in range(1, _LONGEST_TERM + 1)
+)
+# Windows of the longer text that could reach the threshold by their characters, then the longest
+# common subsequence by bits: a 1 that the sum moves past is a character that is not matched.
+FUZZY_CHECK = TERM_CHECK.replace("checked as (", "exact as (") + f""",
+open_ as (
+  select e.pair_id, e.term, lower(coalesce(p.prediction, '')) as x from exact e join pairs p using (pair_id) where not found),
+shorter as (
+  select pair_id, term, case when length(term) <= length(x) then term else x end as s,
+    case when length(term) <= length(x) then x else term end as l from open_),
+ways as (
+  select * from shorter where s <> '' union all select pair_id, term, l, s from shorter where s <> '' and length(s) = length(l)),
+counted_ as (select *, array_to_string(list_distinct(string_split(s, '')), '') as cs from ways),
+parts as (
+  select pair_id, term, s, cs, length(s) as m, length(l) as size_, i0, greatest(i0, 0) as p0,
+    substr(l, greatest(i0, 0) + 1, i0 + 128 + length(s) - greatest(i0, 0)) as part
+  from (select *, unnest(range(1 - length(s), length(l), 128)) as i0 from counted_)),
+places as (
+  select pair_id, term, s, cs, m, size_, p0, part, unnest(range(i0, least(i0 + 128, size_))) as i from parts),
+windows as (
+  select pair_id, term, s, cs, m,
+    substr(part, greatest(i, 0) - p0 + 1, least(i + m, size_) - greatest(i, 0)) as w from places),
+of_set as materialized (
+  select * from windows where 2.0::double * (length(w) - length(translate(w, cs, ''))) / (m + length(w)) >= 0.8::double),
+likely as (
+  select pair_id, term, s, w from of_set
+  where 2.0::double * ({_SHARED}) / (length(s) + length(w)) >= 0.8::double),
+kept as (select distinct s, w from likely),
+bits as (
+  select s, w, (1::bigint << length(s)::int) - 1 as whole, list_transform(string_split(w, ''), lambda c:
+    list_sum(list_transform(range(length(s)), lambda k: case when substr(s, k + 1, 1) = c then 1::bigint << k::int else 0 end))::bigint) as masks
+  from kept),
+lcs as (
+  select s, w, length(s) - bit_count(list_reduce(list_prepend(whole, masks), lambda v, k: ((v + (v & k)) | (v - (v & k))) & whole)) as common
+  from bits),
+good as (select s, w from lcs where 2.0::double * common / (length(s) + length(w)) >= 0.8::double),
+sizes_ as (select pair_id, term, sum(length(l) + length(s) - 1) as n from ways group by all),
+met as (
+  select pair_id, term, count(*) as compared, bool_or(good.s is not null) as similar_
+  from likely left join good on good.s = likely.s and good.w = likely.w group by all),
+rated as (
+  select o.pair_id, o.term, coalesce(n, 0) as n, coalesce(compared, 0) as compared, coalesce(similar_, false) as similar_
+  from open_ o left join sizes_ z on z.pair_id = o.pair_id and z.term = o.term
+  left join met m on m.pair_id = o.pair_id and m.term = o.term),
+checked as (
+  select e.pair_id, e.term, found or coalesce(similar_, false) as found from exact e
+  left join rated r on r.pair_id = e.pair_id and r.term = e.term)
+"""
+_TERM_ROWS = """,
 counted as (
   select pair_id, count(*) as term_count, count(*) filter (found) as correct_terms
   from checked group by pair_id),
@@ -405,6 +458,7 @@ term_report as (
     coalesce(avg(term_f1), 0) as term_f1, count(*) as sentences_with_terms
   from term_rows where term_count > 0)
 """
+TERM_ROWS, FUZZY_ROWS = TERM_CHECK + _TERM_ROWS, FUZZY_CHECK + _TERM_ROWS
 TERM_REPORT = (
     ", ".join(r6(c) for c in ("term_accuracy", "term_precision", "term_recall", "term_f1"))
     + ", sentences_with_terms"
@@ -601,6 +655,15 @@ select pair_id, {r6('term_precision')}, {r6('term_recall')}, {r6('term_f1')}, te
     "term_accuracy": f"with {TERM_ROWS} select {TERM_REPORT} from term_report",
     "evaluate_with_terms": f"""with {TERM_ROWS}, {WORD_ROWS}, {CHAR_ROWS}, {REPORT}
 select {BLEUS}, {r6('chrf')}, {TERM_REPORT} from report, term_report""",
+    "term_in_prediction_fuzzy": f"with {FUZZY_CHECK} select pair_id, term, found from checked",
+    "term_accuracy_rows_fuzzy": f"""with {FUZZY_ROWS}
+select pair_id, {r6('term_precision')}, {r6('term_recall')}, {r6('term_f1')}, term_count, correct_terms from term_rows""",
+    "term_accuracy_fuzzy": f"with {FUZZY_ROWS} select {TERM_REPORT} from term_report",
+    "evaluate_with_terms_fuzzy": f"""with {FUZZY_ROWS}, {WORD_ROWS}, {CHAR_ROWS}, {REPORT}
+select {BLEUS}, {r6('chrf')}, {TERM_REPORT} from report, term_report""",
+    "fuzzy_windows": f"""with {FUZZY_CHECK}
+select count(*) as open_terms, count(*) filter (similar_) as similar_terms, sum(n)::bigint as windows,
+  sum(compared)::bigint as compared from rated""",
     # scoring
     "tok13a": f"select doc_id, array_to_string({tok('text')}, ' ') as tokens from documents",
     "bleu_rows": f"""with {PAIRS}, {WORD_ROWS}

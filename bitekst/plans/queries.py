@@ -338,6 +338,12 @@ def term_in_prediction_fuzzy(spark, sf):
     return _term_check(spark, sf, fuzzy=True)
 
 
+@query
+def fuzzy_windows(spark, sf):
+    p, g = inputs.pairs(spark, sf), inputs.glossary(spark, sf)
+    return terminology.fuzzy_windows(p, terminology.expected_terms(p, g), g)
+
+
 def _accuracy_rows(spark, sf, fuzzy: bool) -> DataFrame:
     p, g = inputs.pairs(spark, sf), inputs.glossary(spark, sf)
     return terminology.term_accuracy_rows(p, g, fuzzy=fuzzy)

@@ -43,14 +43,18 @@ def test_scores_read_only_their_columns(stored):
     assert schema == ["pair_id:bigint,prediction:string,reference:string"]
 
 
-def test_no_python_in_exact_terms(spark, stored):
+def test_terms_are_found_and_marked_without_moving_rows(spark, stored):
     glossary = inputs.glossary(spark, SF_DIR)
-    for df in (
-        terminology.term_accuracy_rows(stored, glossary, fuzzy=False),
-        terminology.mark_terms(stored, glossary),
-    ):
-        assert not re.search(r"ArrowEval|BatchEval|MapIn", plan(df))
-    assert "ArrowEvalPython" in plan(terminology.term_accuracy_rows(stored, glossary))
+    for df in (terminology.extract_terms(stored, glossary), terminology.mark_terms(stored, glossary)):
+        assert "ArrowEvalPython" in plan(df)
+        assert not re.search(r"Exchange|Join|BatchEval", plan(df))
+
+
+def test_a_large_glossary_is_joined_without_python(spark, stored):
+    glossary = inputs.glossary(spark, SF_DIR)
+    for search in (terminology.extract_terms, terminology.mark_terms):
+        text = plan(search(stored, glossary, walk_bytes=0))
+        assert "Join" in text and not re.search(r"ArrowEval|BatchEval|MapIn", text)
 
 
 def test_subset_filters_without_moving_rows(stored):
