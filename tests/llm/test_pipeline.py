@@ -8,7 +8,8 @@ import corpus_pipeline as pipeline
 from bitekst.llm import decontam, langid, lines, packing
 from bitekst.llm.common import stored
 from tests.llm import odd
-from tests.llm.test_simhash import groups, plain_fingerprint
+from tests.llm.test_minhash import plain_shingles, similarity
+from tests.llm.test_simhash import groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,9 +32,9 @@ def plain_lines(docs):
 
 
 def plain_near(docs):
-    fps = {d["doc_id"]: plain_fingerprint(d["text"]) for d in docs}
-    ids = sorted(fps)
-    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if bin(fps[a] ^ fps[b]).count("1") <= 3]
+    sets = {d["doc_id"]: plain_shingles(d["text"]) for d in docs}
+    ids = sorted(sets)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if similarity(sets[a], sets[b]) >= 0.8]
     label = groups(near, ids)
     return [d for d in docs if label[d["doc_id"]] == d["doc_id"]]
 
