@@ -16,43 +16,28 @@ ID_TIME_FORMAT = "yyyyMMdd_HHmmss"
 ISO_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def flatten_config(
-    configs: DataFrame, row_id: str, config: str, sep: str = "."
-) -> DataFrame:
+# Opens one level of nested objects after the other; lists and plain values are leaves. A variant cannot
+# be handed on, its JSON text can.
+_FLATTEN = """
+with recursive tree(id, path, value, nested) max recursion level {depth} as (
+  select `{row_id}`, '', `{config}`, true from {{configs}}
+  union all
+  select t.id, case when t.path = '' then e.key else concat(t.path, :sep, e.key) end,
+    case when schema_of_variant(e.value) rlike '^(OBJECT|ARRAY)' then to_json(e.value) else cast(e.value as string) end,
+    startswith(schema_of_variant(e.value), 'OBJECT')
+  from tree t, lateral variant_explode(parse_json(t.value)) e where t.nested)
+select id as `{row_id}`, path, value from tree where not nested limit all
+"""
+
+
+def flatten_config(configs: DataFrame, row_id: str, config: str, sep: str = ".", depth: int = 1000) -> DataFrame:
     """(row_id, path, value): dotted path of every leaf of a JSON document per row.
 
-    Objects are entered, lists stay values, an empty object gives nothing. One pass per nesting
-    level, as many as the deepest document needs; only nested objects go on to the next level.
+    Objects are entered, lists stay values, an empty object gives nothing. One recursive query, a step
+    for each level that the deepest document has; a document of more than ``depth`` levels is an error.
     """
-    start = F.parse_json(F.col(config))
-    level = configs.select(row_id, F.lit("").alias("path"), start.alias("node"))
-    leaves = None
-    while True:
-        entries = level.sparkSession.sql(
-            f"select l.{row_id}, l.path, e.key, e.value from {{level}} l, "
-            "lateral variant_explode(l.node) e",
-            level=level,
-        )
-        path = F.when(F.col("path") == "", F.col("key")).otherwise(
-            F.concat("path", F.lit(sep), "key")
-        )
-        # A variant cannot be shuffled or checkpointed, its JSON text can.
-        kind = F.schema_of_variant("value")
-        nested = F.startswith(kind, F.lit("OBJECT"))
-        plain = F.col("value").cast("string")
-        text = F.when(nested | F.startswith(kind, F.lit("ARRAY")), F.to_json("value"))
-        opened = materialize(
-            entries.select(
-                row_id, path.alias("path"), nested.alias("nested"),
-                F.coalesce(text, plain).alias("value"),
-            )
-        )
-        found = opened.filter("not nested").select(row_id, "path", "value")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        deeper = opened.filter("nested")
-        if deeper.isEmpty():
-            return leaves
-        level = deeper.select(row_id, "path", F.parse_json("value").alias("node"))
+    query = _FLATTEN.format(row_id=row_id, config=config, depth=depth)
+    return configs.sparkSession.sql(query, args={"sep": sep}, configs=configs)
 
 
 def latest_metrics(log: DataFrame, run: str = "run_id") -> DataFrame:

@@ -838,6 +838,15 @@ select row_number() over (order by pair_id) - 1 as pair_id, source,
   case when lang = 'de' then 'reverse' else '' end as direction from corpus""",
     "read_document_pairs": f"""with {CORPUS}
 select row_number() over (order by pair_id) as doc_id, source as en_text, target as no_text from corpus""",
+    "read_pairs_array": f"""with {CORPUS}
+select row_number() over (order by pair_id) - 1 as pair_id, source,
+  case when lang = 'es' then '' else target end as target,
+  case when lang = 'de' then 'reverse' else '' end as direction from corpus""",
+    "read_document_array": f"""with {CORPUS}
+select row_number() over (order by pair_id) as doc_id, source as en_text, target as no_text from corpus""",
+    "read_state_files": """select conv_id as run_id, turn as step,
+  round(case when role <> 'assistant' then length(text)::double end, 6) as loss,
+  round(case when role = 'assistant' then length(text)::double end, 6) as eval_bleu from conversations""",
     "write_parallel": rf"""with {CORPUS}
 select 'no' as side, regexp_replace(source, '[\r\n]+', ' ', 'g') as line from corpus
 union all select 'en', regexp_replace(target, '[\r\n]+', ' ', 'g') from corpus""",

@@ -754,6 +754,29 @@ def read_run_logs(spark, sf):
     return rounded(rows.select(part.alias("part"), "epoch", "step", "loss", "eval_bleu"))
 
 
+@query
+def read_state_files(spark, sf):
+    """Whole state files, an object over several lines each, with more in it than the log."""
+    path = scratch_path(spark, "state_files")
+    entry = lambda e: F.struct(
+        e["step"].alias("step"), e["loss"].alias("loss"), e["eval_bleu"].alias("eval_bleu")
+    )
+    state = F.to_json(
+        F.struct(
+            F.lit(None).cast("string").alias("best_metric"),
+            F.lit(False).alias("is_hyper_param_search"),
+            F.transform("log_history", entry).alias("log_history"),
+            F.struct(F.lit(500).alias("save_steps")).alias("args"),
+        ),
+        {"pretty": "true", "ignoreNullFields": "false"},
+    )
+    states = inputs.run_states(spark, sf).withColumn("part", F.monotonically_increasing_id())
+    states.select(state.alias("value"), F.col("run_id").alias("run"), "part").write.partitionBy("run", "part").text(path)
+    rows = readers.read_run_logs(spark, path + "/*/*/*.txt")
+    run = F.regexp_extract("run_id", r"/run=(\d+)/", 1).cast("long")
+    return rounded(rows.select(run.alias("run_id"), "step", "loss", "eval_bleu"))
+
+
 def _memory(spark, sf) -> DataFrame:
     """Documents written as translation units, one empty and one regional variant each, and read
     again."""
@@ -850,6 +873,36 @@ def read_document_pairs(spark, sf):
     return readers.read_document_pairs(spark, path, lines=True)
 
 
+def _as_array(lines: DataFrame, path: str, of: int) -> None:
+    """Rows (ord, json) as files that hold one JSON array each, over several lines, of ``of`` rows."""
+    file = F.floor(F.col("ord") / of).alias("file")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda x: x["json"])
+    array = F.concat(F.lit("[\n  "), F.array_join(ordered, ",\n  "), F.lit("\n]"))
+    files = lines.groupBy(file).agg(array.alias("value"))
+    files.select("value", F.format_string("%08d", "file").alias("part")).write.partitionBy("part").text(path)
+
+
+@query
+def read_pairs_array(spark, sf):
+    """Pairs from JSON arrays of a hundred, the form in which corpora come."""
+    path = scratch_path(spark, "arrays")
+    c = inputs.corpus(spark, sf)
+    absent = F.when(F.col("metadata").isNotNull(), F.col("target")).alias("target")
+    _as_array(c.select(F.col("pair_id").alias("ord"), F.to_json(F.struct("source", absent, "metadata")).alias("json")), path, 100)
+    read = readers.read_pairs_json(spark, path + "/*/*.txt")
+    return read.select(
+        "pair_id", "source", "target", F.coalesce(F.col("metadata")["direction"], F.lit("")).alias("direction")
+    )
+
+
+@query
+def read_document_array(spark, sf):
+    path = scratch_path(spark, "arrays")
+    c = inputs.corpus(spark, sf)
+    _as_array(c.select(F.col("pair_id").alias("ord"), F.to_json(F.struct("source", "target")).alias("json")), path, 100)
+    return readers.read_document_pairs(spark, path + "/*/*.txt")
+
+
 @query
 def read_glossary(spark, sf):
     path = scratch_path(spark, "glossary")

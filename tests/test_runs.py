@@ -173,6 +173,21 @@ def plain_flatten(node, prefix=""):
     return out
 
 
+def test_flatten_deep_documents_in_one_query(spark):
+    deep = "1"
+    for i in range(50):
+        deep = '{"k%d":%s,"v":"%d"}' % (i, deep, i)
+    df = spark.createDataFrame([(7, deep)], "run_id long, config string")
+    got = {r.path: r.value for r in tracking.flatten_config(df, "run_id", "config", "/").collect()}
+    assert got == {"/".join(k): str(v) for k, v in leaves(json.loads(deep))}
+    assert len(got) == 51
+
+
+def leaves(node, path=()):
+    for key, value in node.items():
+        yield from leaves(value, (*path, key)) if isinstance(value, dict) else [((*path, key), value)]
+
+
 def test_flatten(spark):
     configs = [
         {"a": 1, "b": {"c": "x", "d": {"e": True, "f": [1, {"g": 2}], "h": {}}}, "n": None},
