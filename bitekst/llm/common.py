@@ -69,7 +69,7 @@ def numbered_once(df: DataFrame) -> tuple[DataFrame, str]:
     a second scan mean other rows if the files are split otherwise, as after the loss of an executor;
     these stay with their rows."""
     name = fresh(df, ROW)
-    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered", "zstd"), name
 
 
 def row_key(id_col: str, text_col: str) -> Column:
