@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitekst.operators.terminology import override
-from bitekst.session import materialize
+from bitekst.session import materialize, path_exists
 
 # The score a model must exceed to be promoted, the first version, time formats.
 PROMOTION_BLEU = 0.45
@@ -119,11 +118,8 @@ def append_models(models: DataFrame, path: str, experiment: str = "experiment")
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame | None:
-    """The registry at ``path``; nothing if there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The registry at ``path``; nothing if nothing is there yet. One that cannot be read is an error."""
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def promote_model(

@@ -216,3 +216,15 @@ def test_registry_grows_by_new_models_only(spark, tmp_path):
     rows = sorted(tracking.read_models(spark, path).collect(), key=lambda r: r.id)
     assert [r.id for r in rows] == ["m-e_20260102_030405", "m-f_20260102_030405"]
     assert rows[0].description == "first" and rows[0].metrics == {"test_bleu": "0.5"} and rows[0].config == {}
+
+
+def test_a_broken_registry_is_no_missing_one(spark, tmp_path):
+    from py4j.protocol import Py4JJavaError
+
+    from bitekst.operators import tracking
+
+    assert tracking.read_models(spark, str(tmp_path / "none")) is None
+    (tmp_path / "models").mkdir()
+    (tmp_path / "models" / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Py4JJavaError):
+        tracking.read_models(spark, str(tmp_path / "models")).collect()
