@@ -9,6 +9,7 @@ neighbours of one label form a span. The language of the text is the one with th
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +42,18 @@ SCRIPTS = (
 NAMES = sorted({name for _, name in SCRIPTS})
 
 
+@cache
+def _categories() -> np.ndarray:
+    """1 for a letter, 2 for a mark, 0 for every other code point, of all planes."""
+    kinds = (unicodedata.category(chr(i))[0] for i in range(0x110000))
+    return np.fromiter((1 if k == "L" else 2 if k == "M" else 0 for k in kinds), np.uint8, 0x110000)
+
+
 class Reader:
     """Finds the words of many texts at once, and the places of their n-grams."""
 
     def __init__(self):
-        points = map(chr, range(0x10000))
-        marks = ("L", "M")
-        self.letters = np.array([unicodedata.category(c)[0] in marks for c in points])
+        self.kinds = _categories()
         low = [c.lower() for c in map(chr, range(0x10000))]
         self.low = np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.uint32)
         self.starts = np.array([s for s, _ in SCRIPTS])
@@ -60,7 +66,12 @@ class Reader:
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         far = points > 0xFFFF
         clipped = np.where(far, 0, points)
-        letter = self.letters[clipped] | (points >= 0x10000) & (points < 0x1F000) | (points >= 0x20000)
+        kind = self.kinds[points]
+        letter, mark = kind == 1, kind == 2
+        if mark.any():  # a mark goes on with a word, but begins none
+            at = np.arange(len(points))
+            last = [np.maximum.accumulate(np.where(kind == k, at, -1)) for k in (0, 1)]
+            letter |= mark & (last[1] > last[0])
         low = np.where(letter, np.where(far, points, self.low[clipped]), 32).astype(np.uint64)
         edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
         first, end = edge[::2], edge[1::2]

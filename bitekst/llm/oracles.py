@@ -7,17 +7,18 @@ from bitekst.llm import conversations, covertree, decontam, lines, resampling, s
 SENTENCE_SPANS = f"""
 with d as (select row_number() over () rid, doc_id, text from documents),
 p as (select rid, doc_id, text, list_filter(regexp_extract_all(text,
-        '[^.!?\\n]*(?:[.!?]+[^ \\t\\n\\r\\f\\x0b.!?][^.!?\\n]*)*[.!?]*[ \\t\\n\\r\\f\\x0b]*'), lambda x: x <> '') ps from d),
+        '(?:^[ \\t\\n\\r\\f\\x0b]*)?[^.!?\\n]*(?:[.!?]+[^ \\t\\n\\r\\f\\x0b.!?][^.!?\\n]*)*[.!?]*[ \\t\\n\\r\\f\\x0b]*'), lambda x: x <> '') ps from d),
 w as (select rid, doc_id, ps, list_transform(ps, lambda x:
         list_filter(regexp_split_to_array(x, '[ \\t\\n\\r\\f\\x0b]+'), lambda y: y <> '')) ws from p),
 s as (select rid, doc_id, unnest(range(len(ws))) i, unnest(ws) words from w),
 c as (select *, len(words) n, sum(len(words)) over (partition by rid order by i) upto from s),
-ends as (select a.rid, a.i, min(b.i) j from c a join c b on a.rid = b.rid
+long as (select a.rid, a.i, b.i j from c a join c b on a.rid = b.rid
         and b.i between a.i + {spans.SENTENCES - 1} and a.i + {spans.WORDS + spans.SENTENCES}
-        and b.upto - a.upto + a.n >= {spans.WORDS} group by a.rid, a.i),
+        and b.upto - a.upto + a.n >= {spans.WORDS}),
+ends as (select rid, i, min(j) j from long group by rid, i union select rid, max(i), j from long group by rid, j),
 runs as (select e.rid, w.doc_id, e.i, e.j, array_to_string(flatten(ws[e.i + 1 : e.j + 1]), ' ') run
         from ends e join w using (rid)),
-ranked as (select *, row_number() over (partition by run order by doc_id, i) k from runs),
+ranked as (select *, rank() over (partition by run order by doc_id, i) k from runs),
 gone as (select rid, list_distinct(flatten(list(range(i, j + 1)))) covered from ranked where k > 1 group by rid)
 select w.doc_id, len(ps) n_sentences, coalesce(len(covered), 0) n_removed,
   array_to_string(list_filter(ps, lambda x, i: not list_contains(coalesce(covered, []), i - 1)), '') "text"

@@ -1,7 +1,8 @@
 """Substring de-duplication over sliding spans of sentences.
 
-Every run of consecutive sentences (the shortest from each sentence on that has enough sentences
-and words) is hashed to 128 bits. The first place of every hash in the order of (doc_id, row,
+Runs of consecutive sentences with enough sentences and words are hashed to 128 bits: the shortest
+from each sentence on and the shortest up to each sentence. Where a longer run is repeated, those
+inside it are too, and they cover it to its first and last sentence. The first place of every hash in the order of (doc_id, row,
 sentence) is found by a combined minimum; the runs that stand elsewhere cover sentences to remove.
 """
 
@@ -18,8 +19,9 @@ from bitekst.llm.common import by_batch, pick, row_key, stored
 
 SENTENCES, WORDS = 2, 12
 #: A sentence with the white space behind it: up to closing marks before white space, or a line end.
+#: White space before the first sentence belongs to it, so every sentence of a text with words has one.
 #: It looks at ASCII characters only, so it cuts UTF-8 as well as text.
-PIECE = re.compile(rb"[^.!?\n]*+(?:[.!?]++[^ \t\n\r\f\v.!?][^.!?\n]*+)*+[.!?]*+[ \t\n\r\f\v]*+")
+PIECE = re.compile(rb"(?:\A[ \t\n\r\f\v]*+)?+[^.!?\n]*+(?:[.!?]++[^ \t\n\r\f\v.!?][^.!?\n]*+)*+[.!?]*+[ \t\n\r\f\v]*+")
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -28,8 +30,14 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def runs(sizes: list[int], sentences: int, least: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest run from each sentence on that is long enough, of the numbers
-    of words of the sentences."""
+    """(first, last) of the shortest runs that are long enough from each sentence on, and up to each
+    sentence, of the numbers of words of the sentences."""
+    last = len(sizes) - 1
+    upto = _shortest(sizes[::-1], sentences, least)
+    return sorted({*_shortest(sizes, sentences, least), *((last - j, last - i) for i, j in upto)})
+
+
+def _shortest(sizes: list[int], sentences: int, least: int) -> list[tuple[int, int]]:
     ends, out, j, total = len(sizes), [], -1, 0
     for i in range(ends):
         while j + 1 < ends and (j + 1 < i + sentences or total < least):
@@ -42,7 +50,6 @@ def runs(sizes: list[int], sentences: int, least: int) -> list[tuple[int, int]]:
     return out
 
 
-
 def span_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """(doc_id, row, first, last, h1, h2): the hashed runs of every text."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitekst.llm.common import by_batch, stored
+from bitekst.llm.common import by_batch, numbered_once, stored
 from bitekst.session import scratch_path
 
 MARK = b"WARC/1.1"
@@ -29,7 +29,7 @@ VERSION = MARK + b"\r\n"
 SEGMENT, CHUNK, REVISIT_FROM = 16384, 4096, 0
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ID = re.compile(r"<urn:page:(-?\d*):(\d+)>")
+ID = re.compile(r"<urn:page:(-?\d*):([0-9a-f]+)>")
 
 
 def digest(payload: bytes) -> str:
@@ -79,7 +79,7 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + lines.encode() + b"\r\n" + block
 
 
-def records(row: int, page_id: int | None, url: str | None, payload: bytes, head: str | None, segment: int) -> list[bytes]:
+def records(row: int | str, page_id: int | None, url: str | None, payload: bytes, head: str | None, segment: int) -> list[bytes]:
     """The records of a page without the blank lines behind them: a revisit of ``head``, or a response with
     its continuations."""
     name = f"<urn:page:{'' if page_id is None else page_id}:{row}>"
@@ -128,23 +128,38 @@ def write_warc(
     the one with the largest page_id is a response, the others refer to it.
 
     A null payload is empty; a null url is replaced by the page's name; a null page_id counts as
-    the smallest. Every row is a page, and the last of equal page_ids with equal payloads is the
-    response. Rows are told apart by their place in the scan, so ``pages`` should be a stored
-    table. An empty table gives an empty archive.
+    the smallest. Every row is a page, and one of equal page_ids with equal payloads is the response.
+    Its record is named by page_id and digest, so revisits find it however the files are split in a
+    later scan, as after the loss of an executor; further columns are ignored. An empty table gives
+    an empty archive.
     """
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"),
         pages[page_id].cast("long").alias("page_id"),
         pages[url].cast("string").alias("url"),
         F.coalesce(pages[html].cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
-    same = rows.filter(F.octet_length("payload") >= revisit_from).groupBy("sha").agg(
-        F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("head")
+    same = rows.filter(F.octet_length("payload") >= revisit_from).groupBy("sha", "page_id").agg(F.count("*").alias("n"))
+    same = same.groupBy("sha").agg(F.sum("n").alias("n"), F.max(F.struct("page_id", "n")).alias("top"))
+    same = stored(
+        same.filter("n > 1").select("sha", F.col("top.page_id").alias("head"), (F.col("top.n") > 1).alias("tied")), "heads"
     )
-    same = stored(same.filter("n > 1").select("sha", "head"), "heads")
-    head = F.concat_ws(":", F.lit("<urn:page"), F.coalesce(F.col("head.page_id").cast("string"), F.lit("")), F.concat("head.row", F.lit(">")))
-    placed = rows.join(same, "sha", "left").select(
-        "row", "page_id", "url", "payload", F.when(F.col("head.row") != F.col("row"), head).alias("head")
+    found = rows.join(same, "sha", "left")
+    shared, first = F.col("tied").isNotNull(), F.col("page_id").eqNullSafe(F.col("head"))
+    if same.filter("tied").isEmpty():
+        found = found.withColumn("leads", ~shared | first)
+    else:
+        # rows equal in page_id and payload: one of them leads, by a number stored with it
+        tied = F.coalesce(F.col("tied"), F.lit(False)) & first
+        held, number = numbered_once(found.filter(tied))
+        lead = stored(held.groupBy("sha").agg(F.max(number).alias("lead")), "leads")
+        held = held.join(lead, "sha").withColumn("leads", F.col(number) == F.col("lead")).drop(number, "lead")
+        found = found.filter(~tied).withColumn("leads", ~shared | first).unionByName(held)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = F.concat(F.lit("<urn:page:"), text("head"), F.lit(":"), F.col("sha"), F.lit(">"))
+    number = F.monotonically_increasing_id().cast("string")
+    placed = found.select(
+        F.when(shared & F.col("leads"), F.col("sha")).otherwise(number).alias("row"),
+        "page_id", "url", "payload", F.when(~F.col("leads"), head).alias("head"),
     )
 
     def make():

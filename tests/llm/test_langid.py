@@ -111,3 +111,13 @@ def test_held_out_accuracy(spark):
     rows = [r for r in langid.op10(spark, sf).collect() if r["held_out"]]
     assert len(rows) > 200
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) / len(rows) > 0.98
+
+
+def test_only_letters_make_words():
+    """Digits, symbols and marks of any plane are no letters; a mark continues a word only."""
+    reader = langid.Reader()
+    texts = ["\U0001d7ce\U0001d7cf", "\U0001d11e", "\u0301", "\U000e0001", "\U000e0100", "12 \u0301 ..", "e\u0301t", "\u0301et", "\U00020000"]
+    _, text_of, first, end, _ = reader.words(texts)
+    assert text_of.tolist() == [6, 7, 8]
+    assert (end - first).tolist() == [3, 2, 1]
+    assert reader.words([])[1].size == 0

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from bitekst.llm import decontam, lines, spans
@@ -39,13 +40,43 @@ def test_pieces_cover_the_text():
 
 def test_runs_are_the_shortest():
     sizes = [3, 1, 5, 0, 9, 2]
-    want = []
-    for i in range(len(sizes)):
-        for j in range(i + 1, len(sizes)):
-            if sum(sizes[i : j + 1]) >= 8:
-                want.append((i, j))
-                break
-    assert spans.runs(sizes, 2, 8) == want
+    long = [(i, j) for i in range(6) for j in range(i + 1, 6) if sum(sizes[i : j + 1]) >= 8]
+    want = {(i, min(j for a, j in long if a == i)) for i, _ in long}
+    want |= {(max(i for i, b in long if b == j), j) for _, j in long}
+    assert spans.runs(sizes, 2, 8) == sorted(want)
+
+
+def test_spans_against_all_runs(spark):
+    """Whatever any repeated run covers goes, the ends of repeated passages too."""
+    rng = random.Random(3)
+    words = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.choice((1, 1, 2, 4, 7))))
+    pool = [words() + ". " for _ in range(14)]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(2, 7))] for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.4 else [rng.choice(pool)] for _ in range(rng.randint(0, 6))]
+        texts.append([p for part in parts for p in part])
+    seen, gone = {}, [set() for _ in texts]
+    for n, text in enumerate(texts):
+        for i in range(len(text)):
+            for j in range(i + 1, len(text)):
+                run = "".join(text[i : j + 1])
+                if len(run.split()) >= 6 and seen.setdefault(run, (n, i)) != (n, i):
+                    gone[n].update(range(i, j + 1))
+    want = [(n, len(g), "".join(p for k, p in enumerate(t) if k not in g)) for n, (t, g) in enumerate(zip(texts, gone))]
+    docs = spark.createDataFrame([(n, "".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    out = spans.remove_repeated(docs, 2, 6).select("doc_id", "n_removed", "text")
+    assert sorted(map(tuple, out.collect())) == want
+    assert sum(map(len, gone)) > 50
+
+
+def test_spans_tail_and_leading_space(spark):
+    shared = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda rho sigma. Short end. Tiny."
+    alone = " \n Some words that stand here only once ever. And some more of them at the end."
+    rows = [(1, f"First text. {shared}"), (2, f"Second text of another kind. {shared}"), (3, alone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in spans.remove_repeated(docs).collect()}
+    assert out == {1: rows[0][1], 2: "Second text of another kind. ", 3: alone}
 
 
 def test_spans_odd(spark):

@@ -120,3 +120,28 @@ def test_no_pages(spark):
     path = scratch_path(spark, "warc")
     warc.write_warc(df.limit(0), path)
     assert warc.resolved(warc.read_warc(spark, path)).count() == 0
+
+
+def test_splits_that_change_between_the_scans(spark, monkeypatch):
+    """Revisits find their responses though every file is split otherwise in the second scan."""
+    rows = [(i // 2 if i % 50 < 4 else i, f"u{i}", f"page {i % 40} " * 30) for i in range(400)]
+    rows += [(900, "u", "many segments " * 10000)] * 3
+    path = scratch_path(spark, "pages")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    df = df.selectExpr("*", "'x' as sha", "1L as head", "2L as row", "'y' as payload", "true as tied")
+    df.write.option("parquet.block.size", 4096).parquet(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def resplit(*args, **kwargs):
+        out = stored(*args, **kwargs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        return out
+
+    monkeypatch.setattr(warc, "stored", resplit)
+    archive = scratch_path(spark, "warc")
+    try:
+        warc.write_warc(spark.read.parquet(path), archive, segment=1000)
+        read = warc.resolved(warc.read_warc(spark, archive, payload=False)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(str(tuple(r)) for r in read) == want(rows)
