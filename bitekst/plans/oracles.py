@@ -622,6 +622,10 @@ select doc_id, en_sentences, no_sentences, aligned_pairs, {r6('avg_similarity')}
     "align_progressively": f"""with recursive {SENTENCES}
 select doc_id, en_sentences, no_sentences, aligned_pairs, {r6('avg_similarity')} from doc_stats""",
     "align_progress_pairs": f"""with recursive {SENTENCES}
+select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
+    "align_document_parts_stats": f"""with recursive {SENTENCES}
+select doc_id, en_sentences, no_sentences, aligned_pairs, {r6('avg_similarity')} from doc_stats""",
+    "align_document_parts": f"""with recursive {SENTENCES}
 select doc_id, en_pos, no_pos, en, no_ as "no", {r6('sim', 'similarity')}, method from aligned""",
     "align_summary": f"""with recursive {SENTENCES}
 select count(*) as total_mt_pairs, sum(en_sentences)::bigint as total_en_sentences,

@@ -280,6 +280,27 @@ def align_progress_pairs(spark, sf):
     return _progress(spark, sf, "pairs")
 
 
+def _parts(spark, sf, name: str) -> DataFrame:
+    """Every document in parts, a part of each in every file; one file a batch."""
+    source, out, state = (scratch_path(spark, n) for n in ("sentence-parts", "aligned-parts", "progress-parts"))
+    sentences = materialize(inputs.sentences(spark, sf))
+    sizes = sentences.groupBy("doc_id").agg(F.count("*").alias("total"))
+    parts = sentences.join(sizes, "doc_id").withColumn("part", F.pmod(F.hash("side", "pos"), F.lit(3)))
+    parts.repartition(3, "part").drop("part").write.parquet(source)
+    progress.align_progressively(spark, source, out, state, files_per_batch=1, end="total")
+    return rounded(progress.read_progress(spark, out, name).drop("batch_id"))
+
+
+@query
+def align_document_parts(spark, sf):
+    return _parts(spark, sf, "pairs")
+
+
+@query
+def align_document_parts_stats(spark, sf):
+    return _parts(spark, sf, "stats")
+
+
 # --- terminology ---------------------------------------------------------------------------
 
 

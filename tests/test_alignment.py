@@ -176,3 +176,94 @@ def test_document_over_two_batches_is_refused(spark, tmp_path):
     with pytest.raises(StreamingQueryException, match="spread over several batches: 1"):
         progress.align_progressively(spark, *paths)
     assert progress.read_progress(spark, paths[1]).count() == before
+
+
+PARTS = "doc_id long, side string, pos long, sent string, v array<double>, total int, last boolean"
+
+
+def part_files(spark, path, batches):
+    for rows in batches:
+        spark.createDataFrame(rows, PARTS).coalesce(1).write.mode("append").parquet(path)
+
+
+def three_parts():
+    """Documents 1 to 4 and one without an id in three parts; 5 never gets its last sentences."""
+    rng = np.random.default_rng(8)
+    parts = [[], [], []]
+    for doc in (1, 2, 3, 4, 5, None):
+        size = 4 + (doc or 0)
+        for pos in range(size):
+            v = rng.normal(size=5).tolist()
+            for side in ("en", "no"):
+                if side == "no" and doc in (2, 4) and pos > 2:
+                    continue
+                total = size + (3 if doc in (2, 4) else size)
+                at = 0 if doc == 3 else (pos + (side == "no")) % 3 if doc != 5 else 0
+                parts[at].append((doc, side, pos, f"{side} {pos}", v, total + (doc == 5), False))
+    return parts
+
+
+def saved(spark, out, name="pairs"):
+    from bitekst.streaming import progress
+
+    return sorted(map(str, progress.read_progress(spark, out, name).drop("batch_id").collect()))
+
+
+def test_documents_in_parts(spark, tmp_path, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+
+    from bitekst.streaming import progress
+
+    parts = three_parts()
+    everything = spark.createDataFrame([r for p in parts for r in p], PARTS).drop("total", "last")
+    pairs = al.align_documents(everything)
+    stats = al.align_doc_stats(everything, pairs)
+    complete = "doc_id is null or doc_id != 5"
+    want = sorted(map(str, pairs.filter(complete).collect())), sorted(map(str, stats.filter(complete).collect()))
+    paths = [str(tmp_path / n) for n in ("in", "out", "state")]
+    part_files(spark, paths[0], parts)
+
+    real, calls = progress._align, []
+
+    def fails_once(*args):
+        calls.append(args[2])
+        if len(calls) == 2:  # parts and open documents of the second batch are written, its pairs are not
+            raise RuntimeError("lost")
+        real(*args)
+
+    monkeypatch.setattr(progress, "_align", fails_once)
+    with pytest.raises(StreamingQueryException, match="lost"):
+        progress.align_progressively(spark, *paths, files_per_batch=1, end="total")
+    progress.align_progressively(spark, *paths, files_per_batch=1, end="total")
+    assert calls == [0, 1, 1, 2]
+    assert (saved(spark, paths[1]), saved(spark, paths[1], "stats")) == want
+    assert [r["doc_id"] for r in progress.open_documents(spark, paths[1]).collect()] == [5]
+
+    for _ in range(2):  # the second call repeats the first
+        progress.finish_open(spark, paths[1])
+        assert saved(spark, paths[1]) == sorted(map(str, pairs.collect()))
+        assert saved(spark, paths[1], "stats") == sorted(map(str, stats.collect()))
+    assert progress.open_documents(spark, paths[1]).count() == 0
+    part_files(spark, paths[0], [[(5, "en", 99, "late", [1.0] * 5, 1, True)]])
+    with pytest.raises(StreamingQueryException, match="spread over several batches: 5"):
+        progress.align_progressively(spark, *paths, files_per_batch=1, end="total")
+
+
+def test_end_marks_and_idle_documents(spark, tmp_path):
+    from bitekst.streaming import progress
+
+    row = lambda doc, side, pos, last=None: (doc, side, pos, "", [float(pos + 1), 1.0], None, last)
+    batches = [
+        [row(1, "en", 0), row(1, "no", 0), row(2, "en", 0), row(2, "no", 0)],
+        [row(1, "en", 1), row(3, "en", 0), row(3, "no", 0)],
+        [row(1, "no", 1, True), row(3, "en", 1)],
+    ]
+    paths = [str(tmp_path / n) for n in ("in", "out", "state")]
+    for batch in batches:
+        part_files(spark, paths[0], [batch])
+        progress.align_progressively(spark, *paths, files_per_batch=1, end="last", idle_batches=2)
+    got = progress.read_progress(spark, paths[1], "stats").select("doc_id", "batch_id", "en_sentences", "no_sentences", "aligned_pairs")
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 2, 2, 2), (2, 2, 1, 1, 1)]
+    assert [tuple(r) for r in progress.open_documents(spark, paths[1]).collect()] == [(3, 1, 2, 3, None, False)]
+    with pytest.raises(ValueError, match="idle_batches"):
+        progress.align_progressively(spark, *paths, idle_batches=1)
