@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from hypothesis import given, settings
@@ -96,13 +97,86 @@ def test_guess_cost():
     assert cost("changeme123") < credentials.THRESHOLD <= cost("7f3Kq9Lw2Z")
     # the programme finds the cheapest way to cut a value
     assert cost("passwordxK9$") <= cost("password") + cost("xK9$") + 1e-9
+    # segments have no longest length
+    assert cost("a" * 150) < credentials.THRESHOLD and cost("abcdefghijklmnopqrstuvwxyz") < 4
+
+
+def plain_piece(value, a, b, known):
+    """Cheapest way to take value[a:b] as one segment."""
+    c, n = credentials, b - a
+    low = value.lower()
+    piece = low[a:b]
+    ways = []
+    if n == 1:
+        if value[a] in c.MARKS and 0 < a < len(value) - 1:
+            ways.append(c.BETWEEN)
+        else:
+            kind = 10 if piece.isdigit() else 26 if piece.isalpha() else 33
+            ways.append(math.log10(kind) + (math.log10(2) if piece != value[a] else 0))
+    turns = {ord(y) - ord(x) for x, y in zip(piece, piece[1:])}
+    if n >= 3 and turns == {0}:
+        kind = 10 if piece[0].isdigit() else 26 if piece[0].isalpha() else 33
+        ways.append(c.CUT + math.log10(kind) + n * c.AGAIN)
+    if n >= 3 and turns in ({1}, {-1}):
+        ways.append(c.CUT + 1 + n * c.AGAIN)
+    if n >= 3 and all(y in c.NEAR.get(x, ()) for x, y in zip(piece, piece[1:])):
+        ways.append(c.CUT + math.log10(len(c.NEAR)) + (n - 1) * c.KEY)
+    capital = c.SPELLED if piece != value[a:b] else 0
+    if n >= c.SHORTEST and piece in known:
+        ways.append(c.CUT + known[piece] + capital)
+    elif n >= c.SHORTEST and piece.translate(c.LEET) in known:
+        ways.append(c.CUT + known[piece.translate(c.LEET)] + c.SPELLED + capital)
+    if n in (4, 6, 8, 10) and c.DATE.fullmatch(value[a:b]):
+        ways.append(c.CUT + math.log10(120 if n == 4 else 365 * 120))
+    return min(ways, default=math.inf)
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(
+        st.sampled_from(["a", "A", "aa", "b", "c", "q", "w", "e", "1", "2", "3", "$", "-", "on", "one", "0ne", "2024", "dog", "D0g"]), max_size=8
+    ).map(lambda x: "".join(x)[:10])
+)
+def test_cheapest_of_all_segmentations(value):
+    known = credentials.ranking(["on", "one", "dog", "dogs", "bone"])
+    best = math.inf
+    for cuts in range(1 << max(len(value) - 1, 0)):
+        at = [0, *(i + 1 for i in range(len(value) - 1) if cuts >> i & 1), len(value)]
+        best = min(best, sum(plain_piece(value, a, b, known) for a, b in zip(at, at[1:])))
+    want = best if value else 0
+    assert abs(credentials.guess_cost(value, known) - want) < 1e-9
 
 
 def test_guessed_values():
     t = "The pwd: xK9$vQ2m!pL. My password is changeme1 and passphrase is Zr8!kq0Pw2, password=abcdef12."
     base = credentials.base_spans(t)
     found = credentials.guess_spans(t, base, 9.0, t.encode())
-    assert [t[s:e] for s, e, _ in found] == ["xK9$vQ2m!pL", "Zr8!kq0Pw2"]
+    assert [t[x[0] : x[1]] for x in found] == ["xK9$vQ2m!pL", "Zr8!kq0Pw2"]
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    prose = "The correct answer of the horse was well known: a state of the art battery staple, correct and known."
+    rows = [(i, prose) for i in range(5)]
+    rows += [
+        (10, "pwd: qZxWvTkJpLmNrBsD"),
+        (11, "Send bearer abcdefghijZQXWVTplmokn with it"),
+        (12, "The login well-known to all, passphrase: correct-horse, auth state-of-the-art here"),
+        (13, None),
+        # a secret of plain letters that many documents hold is still no word
+        *[(20 + i, f"passphrase: hqzvkwpxjtrmdn in copy {i}") for i in range(30)],
+        *[(60 + i, f"the passphrase is hqzvkwpxjtrmdn in copy {i}") for i in range(30)],
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = credentials.corpus_words(docs)
+    assert {"correct", "horse", "state", "of"} <= set(words) and "hqzvkwpxjtrmdn" not in words
+    assert words[0] in ("in", "copy") and credentials.corpus_words(docs, most=3) == words[:3]
+    text = dict(rows)
+    got = {
+        r["doc_id"]: [text[r["doc_id"]][f["start"] : f["end"]] for f in r["found"]] for r in credentials.find_secrets(docs).collect()
+    }
+    assert got[10] == ["qZxWvTkJpLmNrBsD"] and got[11] == ["abcdefghijZQXWVTplmokn"]
+    assert got[12] == [] and got[13] == [] and got[0] == []
+    assert all(got[i] == ["hqzvkwpxjtrmdn"] for i in (*range(20, 50), *range(60, 90)))
 
 
 def test_odd(spark):
