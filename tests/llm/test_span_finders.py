@@ -198,3 +198,44 @@ def test_trees_select_by_context(spark):
     found = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
     assert all([b["kind"] for b in found[i]["base"]] == ["ip"] for i in range(400))
     assert not any(found[1000 + i]["more"] for i in range(400))
+
+
+def iban(i):
+    body = f"{37040044 + i:08d}{532013000 + 7 * i:010d}"
+    check = 98 - int(body + "131400") % 97
+    whole = f"DE{check:02d}{body}"
+    return " ".join(whole[k : k + 4] for k in range(0, len(whole), 4))
+
+
+def test_trees_add_obfuscated_and_numbered_data(spark):
+    names = ["jane", "tom", "li", "ada.b", "kurt_7", "maria"]
+    rows = [(i, f"please mail {names[i % 6]}{i}@site{i % 40}.org about the order") for i in range(600)]
+    planted = {}
+    for i in range(60):
+        planted[1000 + i] = ("email_like", f"{names[i % 6]}{i} (at) example{i % 9} (dot) com")
+        planted[2000 + i] = ("identity", f"{100 + 9 * i}-{10 + i}-{1000 + 37 * i}")
+        planted[3000 + i] = ("account", iban(i))
+        planted[4000 + i] = ("ip_like", f"10[.]{i}[.]7[.]{2 * i}")
+    rows += [(k, f"Here it was written as {v} in a letter, number {k}.") for k, (_, v) in planted.items()]
+    prose = [
+        "They met at home. Then they left at noon. Nobody looked at it.is this so.",
+        "Scores of 10 20 300 and 1999 2000 2001 were seen, version 1.2.3.400.5 followed.",
+        "Order AB12 3456 7890 1234 5678 has 000-12-3456 units.",
+    ]
+    rows += [(5000 + i, prose[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r["doc_id"]: [(m["kind"], text[r["doc_id"]][m["start"] : m["end"]]) for m in r["more"]] for r in pii.find_pii(docs).collect()}
+    for kind in ("email_like", "identity", "account", "ip_like"):
+        mine = [k for k, v in planted.items() if v[0] == kind]
+        assert sum(planted[k] in got[k] for k in mine) >= 0.9 * len(mine), kind
+    assert not any(got[i] for i in (*range(600), *range(5000, 5090)))
+    # nothing to learn from: the evidence decides
+    only = spark.createDataFrame([(1, "x@y.de"), (2, "jane (at) example (dot) com")], "doc_id long, text string")
+    assert [len(r["more"]) for r in pii.find_pii(only).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_spans_apart():
+    span = lambda s, e, p=0.9, k="account": {"start": s, "end": e, "kind": k, "p": p}
+    got = pii.apart([span(5, 9), span(0, 4), span(0, 6), span(6, 8, 0.8), span(6, 8, 0.7, "identity"), span(7, 20)])
+    assert [(x["start"], x["end"], x["kind"]) for x in got] == [(0, 6, "account"), (6, 8, "account")]
