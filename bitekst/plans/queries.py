@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitekst.functions import scores, text
+from bitekst.functions import scores, sketches, text
 from bitekst.operators import (
     alignment,
     assignment,
@@ -457,6 +457,25 @@ def score_distribution(spark, sf):
     return rounded(scoring.score_distribution(scoring.bleu_sentence(inputs.pairs(spark, sf))))
 
 
+@query
+def score_sketches(spark, sf):
+    """Distribution by language from stored sketches of four batches, and whether the rank of every
+    quartile lies within the stated error, held against all scores."""
+    scored = scoring.bleu_sentence(inputs.pairs(spark, sf), keep=("lang",))
+    batch = F.pmod("pair_id", F.lit(4)).alias("batch")
+    rows = materialize(scored.select("lang", batch, "bleu"))
+    stored = materialize(sketches.score_sketches(rows, ["lang", "batch"], "bleu"))
+    found = sketches.distribution(sketches.merge_sketches(stored, ["lang"]))
+    f, r = found.alias("f"), rows.alias("r")
+    met = r.join(f, F.col("r.lang").eqNullSafe(F.col("f.lang")))
+    checks = []
+    for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)):
+        below, upto = F.avg((F.col("bleu") < F.col(name)).cast("int")), F.avg((F.col("bleu") <= F.col(name)).cast("int"))
+        checks.append(((below <= p + sketches.RANK_ERROR) & (upto >= p - sketches.RANK_ERROR)).alias(f"{name}_within"))
+    kept = ["rows", "mean", "std", "min", "max"]
+    return rounded(met.groupBy("f.lang", *kept).agg(*checks).select("lang", *kept, "q25_within", "median_within", "q75_within"))
+
+
 @query
 def score_summary(spark, sf):
     scored = inputs.table(spark, sf, "events").withColumn("score", F.col("value") / 100)
