@@ -21,7 +21,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitekst.llm.common import by_batch
+from bitekst.llm.common import by_batch, stored
 
 #: Reported from 10^10 guesses on, and from 10^14 if only a blank stands between the credential word
 #: and the value, as in prose.
@@ -127,7 +127,9 @@ def corpus_words(docs: DataFrame, text: str = "text", most: int = RANKED, seen:
     rest = F.regexp_replace(docs[text], CONTEXT_SQL, " ")
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(WORD_SQL), 0), F.lower))).alias("w"))
     counted = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= seen)
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+    # written first: a collected limit would bring as many rows of every partition to the driver
+    top = stored(counted.orderBy(F.desc("n"), "w").limit(most), "words").collect()
+    return [r["w"] for r in sorted(top, key=lambda r: (-r["n"], r["w"]))]
 
 
 def guess_cost(value: str, known: dict[str, float] | None = None) -> float:
