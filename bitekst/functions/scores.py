@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitekst.functions.text import SPACES
 
-# The public mteval-13a rules, in order.
+# The public mteval-13a rules, in order. The space is left out of the first one, which
+# would only put further spaces beside it.
+TOKEN_REMOVALS = [("<skipped>", ""), ("-\n", ""), ("\n", " ")]
 TOKEN_ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 TOKEN_RULES = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "),
+    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", r" $1 "),
     (r"([^0-9])([\.,])", r"$1 $2 "),
     (r"([\.,])([^0-9])", r" $1 $2"),
     (r"([0-9])(-)", r"$1 $2 "),
@@ -24,10 +28,7 @@ CHRF_BETA = 2
 
 def tokens(col: Column) -> Column:
     """Metric tokens of a text; case is kept."""
-    col = F.replace(col, F.lit("<skipped>"), F.lit(""))
-    col = F.replace(col, F.lit("-\n"), F.lit(""))
-    col = F.replace(col, F.lit("\n"), F.lit(" "))
-    for entity, char in TOKEN_ENTITIES:
+    for entity, char in [*TOKEN_REMOVALS, *TOKEN_ENTITIES]:
         col = F.replace(col, F.lit(entity), F.lit(char))
     col = F.concat(F.lit(" "), col, F.lit(" "))
     for pattern, replacement in TOKEN_RULES:
@@ -35,6 +36,30 @@ def tokens(col: Column) -> Column:
     return F.array_remove(F.split(col, SPACES), "")
 
 
+_SIGNS = [c for c in map(chr, range(128)) if re.match(TOKEN_RULES[0][0], c)]
+_NUMBERS = [
+    (signs, re.compile(pattern), replacement.replace("$", "\\"))
+    for signs, (pattern, replacement) in zip((".,", ".,", "-"), TOKEN_RULES[1:])
+]
+
+
+def token_list(text: str) -> list[str]:
+    """The same as :func:`tokens`, inside a task; rules are tried where their signs occur."""
+    for old, new in TOKEN_REMOVALS:
+        text = text.replace(old, new)
+    if "&" in text:
+        for entity, char in TOKEN_ENTITIES:
+            text = text.replace(entity, char)
+    for sign in _SIGNS:
+        if sign in text:
+            text = text.replace(sign, f" {sign} ")
+    text = f" {text} "
+    for signs, pattern, replacement in _NUMBERS:
+        if any(sign in text for sign in signs):
+            text = pattern.sub(replacement, text)
+    return text.split()
+
+
 def _sum(parts: list[str]) -> str:
     return "(" + " + ".join(parts) + ")"
 

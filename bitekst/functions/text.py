@@ -21,8 +21,12 @@ SPACES = f"[{WHITESPACE}]+"
 PIECES = f"[{WORD}]+|[^{WORD}]+"
 
 
+# The same characters one by one; those that Python's ``str`` methods take for white space, too.
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"\A{SPACES}|{SPACES}\z", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def clean(col: Column) -> Column:
@@ -36,7 +40,7 @@ def squeeze(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    return F.array_remove(F.split(clean(col), " "), "")
+    return F.array_remove(F.split(col, SPACES), "")
 
 
 def word_count(col: Column) -> Column:

@@ -22,9 +22,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a file over the cores if fewer of its splits than cores hold any, so that work
+    on texts does not wait for a few tasks. Only splits are looked at, no columns are read for that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.select(F.spark_partition_id()).distinct().count()
+    return df if held >= cores else df.repartition(4 * cores)
+
+
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): English documents get their first line once more, as a title."""
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     first = F.get(F.split("text", "\n"), F.lit(0))
     repeated = F.concat(first, F.lit("\n"), F.col("text"))
     return docs.select(
@@ -38,7 +46,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The output drops about every eleventh word; some documents are thinned to a third, doubled, or
     reversed, so that every error class occurs.
     """
-    base = documents(spark, sf_dir).select("doc_id", "lang", words(F.col("text")).alias("w"))
+    base = spread(documents(spark, sf_dir)).select("doc_id", "lang", words(F.col("text")).alias("w"))
     i_drop = F.filter("w", lambda _, i: (i * 7 + F.col("doc_id")) % 11 != 0)
     output = (
         F.when(F.col("doc_id") % 13 == 0, F.filter("w", lambda _, i: i % 3 == 0))
@@ -59,7 +67,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, source, target, metadata): each document with its words in reverse order."""
     reverse = F.create_map(F.lit("direction"), F.lit("reverse"))
     forward = F.create_map(F.lit("lang"), F.col("lang"))
-    return documents(spark, sf_dir).select(
+    return spread(documents(spark, sf_dir)).select(
         F.col("doc_id").alias("pair_id"),
         F.col("text").alias("source"),
         F.array_join(F.reverse(words(F.col("text"))), " ").alias("target"),
