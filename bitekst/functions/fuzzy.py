@@ -8,6 +8,7 @@ exact whole-word check has not found.
 Where only a threshold matters, most windows are ruled out beforehand: the common subsequence is no
 longer than the characters that both have, each counted as often as in the poorer one, and these
 counts slide over the text with one difference of running counts for every character of the term.
+Terms of one text share these counts, and terms of one length the differences.
 """
 
 from __future__ import annotations
@@ -101,6 +102,94 @@ def reaches(a: str, b: str, threshold: float) -> tuple[bool, int, int]:
     return found, windows, left
 
 
+# Longest term that is rated with the others of its text: shared characters are counted in bytes, and
+# the state of a comparison is one machine word.
+TOGETHER = 64
+# Windows that are compared at once.
+WINDOWS = 4096
+
+
+def _least(m: int, threshold: float) -> np.ndarray:
+    """Characters that a window of 0 to ``m`` characters has to share with a term of ``m``."""
+    size, every = np.arange(m + 1), np.arange(m + 1)
+    enough = 2.0 * every[None] / (m + size[:, None]) >= threshold
+    return np.where(enough.any(axis=1), enough.argmax(axis=1), m + 1).astype(np.uint8)
+
+
+def _needed(m: int, places: int, least: np.ndarray) -> np.ndarray:
+    """The same for the window at each place; windows at the ends are shorter."""
+    need = np.full(places, least[m])
+    need[: m - 1], need[places - m + 1 :] = least[1:m], least[1:m][::-1]
+    return need
+
+
+def _common(short: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of pairs of equal length, one bit per character."""
+    count, m = short.shape
+    bit = np.uint64(1) << np.arange(m, dtype=np.uint64)
+    state = np.full(count, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for j in range(m):
+        hit = state & ((short == windows[:, j : j + 1]) * bit).sum(axis=1, dtype=np.uint64)
+        state = (state + hit) | (state - hit)
+    return np.bitwise_count(~state & np.uint64((1 << m) - 1)).astype(np.int64)
+
+
+def _rate(terms: list[str], text: str, threshold: float, known: dict) -> list[tuple[bool, int, int]]:
+    """What :func:`reaches` says of every term; ``known`` keeps what holds for any text. Running counts of a character are made once for all
+    terms, and its counts in windows once for all terms of one length."""
+    long = _codes(text)
+    out: list = [None] * len(terms)
+    by_size: dict[int, list[int]] = {}
+    for i, t in enumerate(terms):
+        if 0 < len(t) <= TOGETHER and len(t) < len(long):
+            by_size.setdefault(len(t), []).append(i)
+        else:
+            out[i] = reaches(t, text, threshold)
+    if not by_size:
+        return out
+    side = max(by_size)
+    edge = np.full(side, 0xFFFFFFFF, np.uint32)
+    padded = np.concatenate([edge, long, edge])
+    running: dict[int, np.ndarray] = {}
+    for m, same in by_size.items():
+        places = len(long) + m - 1
+        first = side - m + 1  # of the padded text, where the first window begins
+        inside: dict[int, np.ndarray] = {}
+        if m not in known:
+            known[m] = _least(m, threshold)
+        need = _needed(m, places, known[m])
+        asked = []
+        for i in same:
+            if terms[i] not in known:
+                codes = _codes(terms[i])
+                known[terms[i]] = codes, [x.tolist() for x in np.unique(codes, return_counts=True)]
+            codes, (chars, counts) = known[terms[i]]
+            shared = np.zeros(places, np.uint8)
+            for c, n in zip(chars, counts):
+                if c not in inside:
+                    if c not in running:
+                        # Counts modulo 256: differences over no more than TOGETHER places are exact.
+                        running[c] = np.concatenate([[np.uint8(0)], (padded == c).cumsum(dtype=np.uint8)])
+                    r = running[c]
+                    inside[c] = r[first + m : first + m + places] - r[first : first + places]
+                shared += np.minimum(inside[c], np.uint8(n))
+            (at,) = np.nonzero(shared >= need)
+            out[i] = False, places, len(at)
+            asked.append((i, codes, at))
+        of = np.repeat([i for i, _, _ in asked], [len(at) for _, _, at in asked])
+        if not len(of):
+            continue
+        row = np.repeat(np.arange(len(asked)), [len(at) for _, _, at in asked])
+        short, at = np.stack([codes for _, codes, _ in asked]), np.concatenate([at for _, _, at in asked])
+        size = np.minimum(np.minimum(at + 1, places - at), m)
+        for k in range(0, len(of), WINDOWS):
+            cut = slice(k, k + WINDOWS)
+            common = _common(short[row[cut]], padded[first + at[cut, None] + np.arange(m)])
+            for i in set(of[cut][2.0 * common / (m + size[cut]) >= threshold].tolist()):
+                out[i] = True, *out[i][1:]
+    return out
+
+
 def similar_terms(terms: Column, text: Column, threshold: float) -> Column:
     """Struct of three arrays for the terms of a row: whether the row's text has a similar enough
     passage, its windows, and how many of them had to be compared."""
@@ -109,7 +198,8 @@ def similar_terms(terms: Column, text: Column, threshold: float) -> Column:
 
     @F.pandas_udf(kind)
     def rate(terms: pd.Series, text: pd.Series) -> pd.DataFrame:
-        rated = [list(zip(*[reaches(t, x, threshold) for t in ts])) or [[], [], []] for ts, x in zip(terms, text)]
+        known: dict = {}
+        rated = [list(zip(*_rate(list(ts), x, threshold, known))) or [[], [], []] for ts, x in zip(terms, text)]
         return pd.DataFrame(rated, columns=kind.names)
 
     return rate(terms, text)
