@@ -15,15 +15,19 @@ import re
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitekst.llm.common import by_batch, row_key, stored
 
-#: Candidates learned from (about so many in all, an equal share of every kind, chosen by a hash), the
-#: precision asked for, and the held-out candidates below which a kind has too few for a threshold.
-SAMPLE, PRECISION, FEW = 8000, 0.97, 60
+#: The precision asked for, and the held-out candidates below which a kind has too few for a threshold.
+PRECISION, FEW = 0.97, 60
 TREES, DEPTH = 12, 3
+#: More than a feature has values, so that all of them can split; Spark looks for these values in all
+#: lines up to the square of this number.
+BINS = 1024
+#: Lines of different features that a task learns from.
+LINES = 50000
 AROUND = 32
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -225,53 +229,61 @@ def _vectors(spans: DataFrame) -> DataFrame:
     return out.drop(*[f"x_{n}" for n in FEATURES])
 
 
-def _limit(scored: list[tuple[float, float]], precision: float, least: int = 20) -> float | None:
-    """The lowest score from which on at least ``least`` held-out candidates are right often enough."""
-    limit, right = None, 0.0
-    like = sorted(scored, reverse=True)
-    for i, (p, label) in enumerate(like):
-        right += label
-        ends = i + 1 == len(like) or like[i + 1][0] != p
-        if ends and i + 1 >= least and right / (i + 1) >= precision:
-            limit = p
-    return limit
+def _limits(scored: DataFrame, precision: float, least: int = 20) -> dict[str, tuple[int, float | None]]:
+    """Per kind the number of held-out candidates, and the lowest score from which on at least ``least``
+    of them are right often enough. ``scored`` has (kind, p, n, right); one task sees the different
+    scores of a kind."""
+    by_score = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    upto = by_score.select("kind", "p", "n", F.sum("n").over(down).alias("all"), F.sum("right").over(down).alias("good"))
+    enough = (F.col("all") >= least) & (F.col("good") / F.col("all") >= precision)
+    found = upto.groupBy("kind").agg(F.sum("n").alias("n"), F.min(F.when(enough, F.col("p"))).alias("limit"))
+    return {r["kind"]: (r["n"], r["limit"]) for r in found.collect()}
 
 
-def choose(spans: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def choose(spans: DataFrame, precision: float = PRECISION) -> DataFrame:
     """(doc_id, row, start, end, kind, p): the loose candidates that trees and thresholds select.
 
-    About ``sample`` candidates are learned from, an equal share of every kind. A kind with at least
-    ``FEW`` held-out candidates has its own threshold, the lowest score at which they are precise
-    enough, or adds nothing if there is none. With fewer the trees have to find a candidate likely
-    (0.5), and it needs evidence besides. If all candidates have the same label nothing can be learned,
-    and the evidence decides alone.
+    All candidates take part, two thirds (by a hash) to learn from and a third to calibrate on; those
+    with the same features, kind and label are one line with their number, and every kind weighs the
+    same. A kind with at least ``FEW`` held-out candidates has its own threshold, the lowest score at
+    which they are precise enough, or adds nothing if there is none. With fewer the trees have to find
+    a candidate likely (0.5), and it needs evidence besides. If all candidates have the same label
+    nothing can be learned, and the evidence decides alone.
     """
     loose = spans.filter("not base")
     counts = {r["kind"]: r["count"] for r in spans.groupBy("kind").count().collect()}
     empty = loose.filter("false").select("doc_id", "row", "start", "end", "kind", F.lit(0.0).alias("p"))
     if not set(counts) - set(BASE_KINDS):
         return empty
-    share = sample / len(KINDS)
-    parts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))])
-    drawn = spans.withColumn("h", F.xxhash64("doc_id", "row", "start", "end", "kind"))
-    drawn = drawn.filter(F.pmod(F.shiftright("h", 8), F.lit(1 << 30)) < parts[F.col("kind")] * F.lit(1 << 30))
-    drawn = drawn.withColumn("label", F.col("sure").cast("double"))
-    drawn = stored(drawn.repartition(1).sortWithinPartitions("h", "start"), "sample")
-    train = drawn.filter("pmod(h, 3) != 0")
-    labels = [r["label"] for r in train.select("label").distinct().collect()]
-    if len(labels) < 2:
+    held = F.pmod(F.xxhash64("doc_id", "row", "start", "end", "kind"), F.lit(3)) == 0
+    label = F.col("sure").cast("double").alias("label")
+    lines = spans.groupBy("x", "kind", "base", label, held.alias("held")).agg(F.count("*").alias("n"))
+    lines = stored(lines, "vectors")
+    train = lines.filter("not held")
+    seen = train.agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.countDistinct("label").alias("labels")).first()
+    if seen["labels"] < 2:
         return loose.filter("sure").select("doc_id", "row", "start", "end", "kind", F.lit(1.0).alias("p"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, minInstancesPerNode=5)
-    model = model.fit(_vectors(train).coalesce(1))
+    total = train.groupBy("kind").agg(F.sum("n").alias("of_kind"))
+    train = train.join(F.broadcast(total), "kind").withColumn(
+        "weight", F.col("n") * F.lit(seen["n"] / len(counts)) / F.col("of_kind")
+    )
+    # In a fixed order, as sums of doubles depend on it.
+    train = train.repartitionByRange(-(-seen["lines"] // LINES), "x", "kind", "label").sortWithinPartitions("x", "kind", "label")
+    model = GBTClassifier(
+        maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=BINS, minInstancesPerNode=1, weightCol="weight",
+        minWeightFractionPerNode=min(5 / seen["n"], 0.49),
+    )
+    model = model.fit(_vectors(train))
     probability = vector_to_array("probability")[1].alias("p")
-    check = _vectors(drawn.filter("pmod(h, 3) = 0 and not base"))
-    rows = model.transform(check).select("kind", "label", probability).collect()
+    check = _vectors(lines.filter("held and not base"))
+    right = (F.col("n") * F.col("label")).alias("right")
+    limits = _limits(model.transform(check).select("kind", probability, "n", right), precision)
     passed = F.lit(False)
     for kind in sorted(set(counts) - set(BASE_KINDS)):
-        own = [(r["p"], r["label"]) for r in rows if r["kind"] == kind]
-        if len(own) >= FEW:
-            limit, sure = _limit(own, precision), F.lit(True)
-        else:
+        n, limit = limits.get(kind, (0, None))
+        sure = F.lit(True)
+        if n < FEW:
             limit, sure = 0.5, F.col("sure")
         if limit is not None:
             passed = passed | ((F.col("kind") == kind) & (F.col("p") >= limit) & sure)
