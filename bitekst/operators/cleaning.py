@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +62,12 @@ def merge_short(sentences: Column, min_words: int = MERGE_BELOW_WORDS) -> Column
     return _merged(sentences, F.transform(sentences, word_count), F.lit(min_words))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _merged(sentences: pd.Series, sizes: pd.Series, least: pd.Series) -> pd.Series:
+# Rows whose sentences are Python objects at a time.
+MERGED_AT_ONCE = 256
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _merged(sentences: pa.Array, sizes: pa.Array, least: pa.Array) -> pa.Array:
     def one(row, counts, least):
         if row is None:
             return None
@@ -76,7 +80,11 @@ def _merged(sentences: pd.Series, sizes: pd.Series, least: pd.Series) -> pd.Seri
             held += words
         return [text for g in groups if (text := " ".join(g).strip())]
 
-    return pd.Series([one(*r) for r in zip(sentences, sizes, least)], dtype=object)
+    parts = []
+    for i in range(0, len(sentences), MERGED_AT_ONCE):
+        cut = zip(*(x[i : i + MERGED_AT_ONCE].to_pylist() for x in (sentences, sizes, least)))
+        parts.append(pa.array([one(*r) for r in cut], pa.list_(pa.string())))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
 def sentences(
