@@ -38,6 +38,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of unsigned 64-bit hashes as a signed number: bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65536):
+        bits = np.unpackbits(h[i : i + 65536, None].view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, row, fp): the SimHash of every text as a signed 64-bit number; ``row`` numbers the
     rows of the scan.
@@ -55,12 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             if not w:
                 return 0
             parts = zip(*(w[i:] for i in range(shingle))) if len(w) >= shingle else [w]
-            h = np.fromiter(map(digest, map(b" ".join, parts)), np.uint64)
-            ones = np.zeros(64, np.int64)
-            for i in range(0, len(h), 65536):
-                bits = np.unpackbits(h[i : i + 65536, None].view(np.uint8), axis=1, bitorder="little")
-                ones += bits.sum(axis=0, dtype=np.int64)
-            return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+            return fingerprint(np.fromiter(map(digest, map(b" ".join, parts)), np.uint64))
 
         return lambda b: b | {"fp": [one(t) for t in b["text"]]}
 
