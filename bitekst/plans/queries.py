@@ -810,10 +810,12 @@ def read_state_files(spark, sf):
         ),
         {"pretty": "true", "ignoreNullFields": "false"},
     )
-    states = inputs.run_states(spark, sf).withColumn("part", F.monotonically_increasing_id())
-    states.select(state.alias("value"), F.col("run_id").alias("run"), "part").write.partitionBy("run", "part").text(path)
-    rows = readers.read_run_logs(spark, path + "/*/*/*.txt")
-    run = F.regexp_extract("run_id", r"/run=(\d+)/", 1).cast("long")
+    # A folder per state; files cost time each, so all cores write them, and tasks list the folders.
+    folder = F.concat_ws("-", "run_id", F.monotonically_increasing_id()).alias("run")
+    states = inputs.run_states(spark, sf).select(state.alias("value"), folder)
+    states.repartition(4 * spark.sparkContext.defaultParallelism).write.partitionBy("run").text(path)
+    rows = readers.read_run_logs(spark, path)
+    run = F.regexp_extract("run_id", r"/run=(\d+)-\d+/", 1).cast("long")
     return rounded(rows.select(run.alias("run_id"), "step", "loss", "eval_bleu"))
 
 
