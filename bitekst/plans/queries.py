@@ -21,7 +21,7 @@ from bitekst.operators import (
     tracking,
 )
 from bitekst.plans import inputs
-from bitekst.session import materialize, scratch_path
+from bitekst.session import materialize, partitions_for, scratch_path
 from bitekst.sources import readers, writers
 from bitekst.streaming import progress
 
@@ -281,13 +281,14 @@ def align_progress_pairs(spark, sf):
 
 
 def _parts(spark, sf, name: str) -> DataFrame:
-    """Every document in parts, a part of each in every file; one file a batch."""
+    """Every document in parts: its sentences are dealt over files of about equal size, and a third of the
+    files is a batch."""
     source, out, state = (scratch_path(spark, n) for n in ("sentence-parts", "aligned-parts", "progress-parts"))
     sentences = materialize(inputs.sentences(spark, sf))
     sizes = sentences.groupBy("doc_id").agg(F.count("*").alias("total"))
-    parts = sentences.join(sizes, "doc_id").withColumn("part", F.pmod(F.hash("side", "pos"), F.lit(3)))
-    parts.repartition(3, "part").drop("part").write.parquet(source)
-    progress.align_progressively(spark, source, out, state, files_per_batch=1, end="total")
+    files = -(-partitions_for(sentences) // 3)
+    sentences.join(sizes, "doc_id").repartition(3 * files, "side", "pos", "doc_id").write.parquet(source)
+    progress.align_progressively(spark, source, out, state, files_per_batch=files, end="total")
     return rounded(progress.read_progress(spark, out, name).drop("batch_id"))
 
 
