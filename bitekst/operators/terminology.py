@@ -107,6 +107,9 @@ def _hits(df: DataFrame, terms: DataFrame, row_id: str, text: str) -> DataFrame:
     return whole.unionByName(rows.select(row_id, F.inline(there)))
 
 
+# Texts of a batch that are Python objects at a time.
+TEXTS = 256
+
 # Largest measured size of a glossary that every worker holds: a few hundred thousand terms.
 WALK_BYTES = 16 * 1024 * 1024
 
@@ -163,14 +166,17 @@ def _marked(sent: Broadcast, text: Column, nested: bool) -> Column:
     @F.arrow_udf(T.StructType().add("text", T.StringType()).add("later", T.ArrayType(steps)))
     def splice(texts: pa.Array) -> pa.Array:
         walk = _patterns(sent)
-        done = [walk.marked(t, nested) for t in texts.to_pylist()]
-        offsets, rows = [0], []
-        for _, later in done:
-            rows += later
-            offsets.append(len(rows))
         steps = walk.table.select(["pattern", "mark"]).combine_chunks().to_struct_array().combine_chunks()
+        offsets, rows, done = [0], [], []
+        for start in range(0, len(texts), TEXTS):  # a few texts at a time are Python objects
+            part = [walk.marked(t.as_py(), nested) for t in texts[start : start + TEXTS]]
+            for _, later in part:
+                rows += later
+                offsets.append(len(rows))
+            done.append(pa.array([t for t, _ in part], pa.string()))
         later = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), steps.take(pa.array(rows, pa.int64())))
-        return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), later], ["text", "later"])
+        marked = pa.concat_arrays(done) if done else pa.array([], pa.string())
+        return pa.StructArray.from_arrays([marked, later], ["text", "later"])
 
     done = splice(text)
     one_by_one = F.aggregate(
