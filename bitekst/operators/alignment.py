@@ -1,7 +1,8 @@
 """Document pairs to sentence pairs, from supplied sentence vectors.
 
 Input everywhere: ``sentences(doc_id, side, pos, sent, v)`` with side ``en`` or ``no``, 0-based
-``pos`` and a vector per sentence.
+``pos`` and a vector per sentence. ``sent`` may be left out where texts are not wanted; the aligned
+pairs then have positions only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bitekst.functions.scan import ordered_chunks, running
 from bitekst.functions.vectors import cosine
-from bitekst.session import materialize
+from bitekst.session import broadcast_if_small, materialize
 
 # Lowest similarity of an aligned pair, and the count difference up to which
 # sentences are paired by position.
@@ -39,14 +40,24 @@ def side_counts(sentences: DataFrame) -> DataFrame:
     )
 
 
+def of_side(sentences: DataFrame, side: str, pos: str, vector: str | None = None) -> DataFrame:
+    """The sentences of a side with the side's names: position, text (if there is one), vector."""
+    columns = [F.col("pos").alias(pos)]
+    if texts(sentences):
+        columns.append(F.col("sent").alias(side))
+    if vector:
+        columns.append(F.col("v").alias(vector))
+    return sentences.filter(F.col("side") == side).select("doc_id", *columns)
+
+
+def texts(sentences: DataFrame) -> list[str]:
+    """The text columns that aligned pairs have."""
+    return ["en", "no"] if "sent" in sentences.columns else []
+
+
 def align_sequential(sentences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pair equal positions; joined on document and position, so one long document spreads out."""
-    en = sentences.filter("side = 'en'").select(
-        "doc_id", "pos", F.col("sent").alias("en"), F.col("v").alias("a")
-    )
-    no = sentences.filter("side = 'no'").select(
-        "doc_id", "pos", F.col("sent").alias("no"), F.col("v").alias("b")
-    )
+    en, no = of_side(sentences, "en", "pos", "a"), of_side(sentences, "no", "pos", "b")
     return (
         en.join(no, ["doc_id", "pos"])
         .withColumn("similarity", cosine(F.col("a"), F.col("b")))
@@ -55,8 +66,7 @@ def align_sequential(sentences: DataFrame, threshold: float = THRESHOLD) -> Data
             "doc_id",
             F.col("pos").alias("en_pos"),
             F.col("pos").alias("no_pos"),
-            "en",
-            "no",
+            *texts(sentences),
             "similarity",
             F.lit("sequential").alias("method"),
         )
@@ -228,36 +238,24 @@ def align_one_to_one(
             break
     if matched is None:
         matched = _mutual(best_partners(left), threshold).limit(0)
-    en = sentences.filter("side = 'en'").select(
-        "doc_id", F.col("pos").alias("en_pos"), F.col("sent").alias("en")
-    )
-    no = sentences.filter("side = 'no'").select(
-        "doc_id", F.col("pos").alias("no_pos"), F.col("sent").alias("no")
-    )
-    return (
-        matched.join(en, ["doc_id", "en_pos"])
-        .join(no, ["doc_id", "no_pos"])
-        .select(
-            "doc_id",
-            "en_pos",
-            "no_pos",
-            "en",
-            "no",
-            "similarity",
-            F.lit("mutual").alias("method"),
-        )
+    if texts(sentences):
+        matched = matched.join(of_side(sentences, "en", "en_pos"), ["doc_id", "en_pos"])
+        matched = matched.join(of_side(sentences, "no", "no_pos"), ["doc_id", "no_pos"])
+    return matched.select(
+        "doc_id", "en_pos", "no_pos", *texts(sentences), "similarity", F.lit("mutual").alias("method")
     )
 
 
+def _branches(sentences: DataFrame) -> DataFrame:
+    """(doc_id, close): documents with both sides, and whether they are paired by position."""
+    close = F.abs(F.col("en_sentences") - F.col("no_sentences")) <= SEQUENTIAL_GAP
+    both = F.least("en_sentences", "no_sentences") > 0
+    return side_counts(sentences).filter(both).select("doc_id", close.alias("close"))
+
+
 def split_branches(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sentences of documents paired by position, and of those that need matching."""
-    close = F.abs(F.col("en_sentences") - F.col("no_sentences")) <= SEQUENTIAL_GAP
-    counts = side_counts(sentences).select(
-        "doc_id",
-        close.alias("close"),
-        (F.least("en_sentences", "no_sentences") > 0).alias("both"),
-    )
-    marked = sentences.join(counts.filter("both"), "doc_id")
+    marked = sentences.join(_branches(sentences), "doc_id")
     columns = sentences.columns
     return marked.filter("close").select(columns), marked.filter("not close").select(columns)
 
@@ -268,9 +266,19 @@ def align_documents(
     match: Callable[[DataFrame, float], DataFrame] = align_one_to_one,
 ) -> DataFrame:
     """All documents: by position when the sentence counts are close, else by ``match``: mutual best,
-    or :func:`bitekst.operators.assignment.align_assignment`."""
-    sequential, other = split_branches(sentences)
-    return align_sequential(sequential, threshold).unionByName(match(other, threshold))
+    or :func:`bitekst.operators.assignment.align_assignment`.
+
+    Vectors move once, to be paired; which documents a pair or a sentence counts for is asked by the
+    numbers of the documents alone. Positions of the other documents are paired in vain for that, at
+    most one a sentence.
+    """
+    branches = broadcast_if_small(_branches(sentences))
+    close, other = (branches.filter(c).select("doc_id") for c in ("close", "not close"))
+    aligned = align_sequential(sentences, threshold).join(close, "doc_id", "left_semi")
+    if other.isEmpty():
+        return aligned
+    unmatched = sentences.join(other, "doc_id", "left_semi")
+    return aligned.unionByName(match(unmatched, threshold))
 
 
 def align_doc_stats(sentences: DataFrame, aligned: DataFrame) -> DataFrame:

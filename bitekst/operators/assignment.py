@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitekst.functions.vectors import cosine
-from bitekst.operators.alignment import BLOCK, THRESHOLD
+from bitekst.operators.alignment import BLOCK, THRESHOLD, of_side, texts
 from bitekst.session import materialize
 
 # A document is solved in one task up to so many sentences and cells of its matrix.
@@ -234,10 +234,10 @@ def align_assignment(
     pairs = best_in_tasks(marked.filter("fits"))
     if not size.filter("not fits").isEmpty():
         pairs = pairs.unionByName(best_by_auction(marked.filter("not fits"), epsilon))
-    texts = sentences.select("doc_id", "side", "pos", "sent")
-    en = texts.filter("side = 'en'").select("doc_id", F.col("pos").alias("en_pos"), F.col("sent").alias("en"))
-    no = texts.filter("side = 'no'").select("doc_id", F.col("pos").alias("no_pos"), F.col("sent").alias("no"))
     good = pairs.filter(F.col("similarity") >= threshold)
-    return good.join(en, ["doc_id", "en_pos"]).join(no, ["doc_id", "no_pos"]).select(
-        "doc_id", "en_pos", "no_pos", "en", "no", "similarity", F.lit("assignment").alias("method")
+    if texts(sentences):
+        good = good.join(of_side(sentences, "en", "en_pos"), ["doc_id", "en_pos"])
+        good = good.join(of_side(sentences, "no", "no_pos"), ["doc_id", "no_pos"])
+    return good.select(
+        "doc_id", "en_pos", "no_pos", *texts(sentences), "similarity", F.lit("assignment").alias("method")
     )

@@ -6,12 +6,13 @@ tables and whole texts go in, nothing is sampled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitekst.functions.text import clean, words
 from bitekst.operators import cleaning
 from bitekst.operators.terminology import glossary_load
+from bitekst.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,24 +165,36 @@ def merged_sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """Sentences of documents and of a copy that lacks the last one of every second document: as
     they are split (doc_id, side, pos), and merged with vectors (doc_id, side, pos, sent, v).
 
-    Vectors count letters, for want of a model.
+    Vectors count letters, for want of a model. Texts are split once, as what is left of a document is
+    stored: its number of sentences and the merged ones.
     """
     d = titled(spark, sf_dir).select("doc_id", cleaning.split_sentences(F.col("text"), "en").alias("s"))
-    d = d.withColumn("m", cleaning.merge_short(F.col("s"), 10))
-
-    def sides(c: str) -> DataFrame:
-        short = F.slice(F.col(c), F.lit(1), F.greatest(F.size(c) - F.col("doc_id") % 2, F.lit(0)).cast("int"))
-        both = F.array(
-            F.struct(F.lit("en").alias("side"), F.col(c).alias("x")),
-            F.struct(F.lit("no").alias("side"), F.transform(short, lambda t: F.concat(F.lit("no: "), t)).alias("x")),
-        )
-        rows = d.select("doc_id", F.inline(both)).select("doc_id", "side", F.posexplode("x").alias("pos", "sent"))
-        return rows.withColumn("pos", F.col("pos").cast("long"))
-
-    text = F.regexp_replace("sent", "^no: ", "")
-    count = [(F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit(""))) + 1) for c in "aeiounrs"]
-    merged = sides("m").withColumn("v", F.array(*[c.cast("double") for c in count]))
-    return sides("s").drop("sent"), merged
+    d = stored(d.select("doc_id", F.size("s").alias("n"), cleaning.merge_short(F.col("s"), 10).alias("m")), "merged")
+
+    def fewer(size: Column) -> Column:
+        return F.greatest(size - F.col("doc_id") % 2, F.lit(0)).cast("int")
+
+    def letters(t: Column) -> Column:
+        count = [F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit(""))) + 1 for c in "aeiounrs"]
+        return F.array(*[c.cast("double") for c in count])
+
+    # the letters of a sentence without the mark of its side: counted once for both, unless it begins with one itself
+    rows = d.select("doc_id", fewer(F.size("m")).alias("fewer"), F.posexplode("m").alias("pos", "t"))
+    rows = rows.withColumns({"v": letters(F.regexp_replace("t", "^no: ", "")), "pos": F.col("pos").cast("long")})
+    marked = F.when(F.startswith("t", F.lit("no: ")), letters(F.col("t"))).otherwise(F.col("v"))
+    both = F.array(
+        F.struct(F.lit("en").alias("side"), F.col("t").alias("sent"), "v"),
+        F.struct(F.lit("no").alias("side"), F.concat(F.lit("no: "), "t").alias("sent"), marked.alias("v")),
+    )
+    merged = rows.select("doc_id", "fewer", "pos", F.inline(both)).filter("side = 'en' or pos < fewer")
+    merged = merged.select("doc_id", "side", "pos", "sent", "v")
+    sizes = F.array(
+        F.struct(F.lit("en").alias("side"), F.col("n").alias("size")),
+        F.struct(F.lit("no").alias("side"), fewer(F.col("n")).alias("size")),
+    )
+    split = d.select("doc_id", F.inline(sizes)).filter("size > 0")
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - F.lit(1).cast("long")))
+    return split.select("doc_id", "side", places.alias("pos")), merged
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from bitekst.operators import (
     tracking,
 )
 from bitekst.plans import inputs
-from bitekst.session import materialize, partitions_for, scratch_path
+from bitekst.session import materialize, partitions_for, scratch_path, stored
 from bitekst.sources import readers, writers
 from bitekst.streaming import progress
 
@@ -241,9 +241,10 @@ def align_long_documents(spark, sf):
 
 @query
 def align_from_texts(spark, sf):
-    """Split, merge, vectors, alignment; counts are those of the sentences before merging."""
+    """Split, merge, vectors, alignment; counts are those of the sentences before merging. Aligned texts
+    are not asked for, so vectors alone go on."""
     split, merged = inputs.merged_sentences(spark, sf)
-    merged = materialize(merged)
+    merged = stored(merged.drop("sent"), "vectors")
     return rounded(alignment.align_doc_stats(split, alignment.align_documents(merged)))
 
 

@@ -48,6 +48,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, compressed, and later uses
+    read only the columns they need, where a checkpoint holds whole rows as they are."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions_for(df: DataFrame, target: int = 64 * 1024 * 1024) -> int:
     """Number of partitions of about ``target`` bytes each, at least the configured number.
 
